@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, mixing, ogg
+from . import language, licenses, mixing, ogg
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op6_ogg_media": ogg.op6_ogg_media,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
