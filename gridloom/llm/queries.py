@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, ogg
+from . import language, licenses, mixing, ogg, pii
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op4_pii_scan": pii.op4_pii_scan,
     "op6_ogg_media": ogg.op6_ogg_media,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
