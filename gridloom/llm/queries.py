@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, ogg, pii
+from . import language, licenses, mixing, neardup, ogg, pii
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_pii_scan": pii.op4_pii_scan,
     "op6_ogg_media": ogg.op6_ogg_media,
     "op8_source_mix": mixing.op8_source_mix,
