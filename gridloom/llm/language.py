@@ -152,8 +152,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names = pa.array(["und" if b < 0 else model.languages[b] for b in best], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), names, pa.array(np.round(sure, 6))], [*(batch.schema.names[k] for k in kept), "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    others = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
+    return docs.mapInArrow(score, f"{others}lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -42,8 +42,8 @@ def word_counts(docs: DataFrame, text: str = "text", name: str = "size") -> Data
             kept = [k for k in range(batch.num_columns) if k != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(sizes)], [*(batch.schema.names[k] for k in kept), name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(count, f"{schema}, `{name}` long")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), f"`{name}` long"])
+    return docs.mapInArrow(count, schema)
 
 
 def capped_targets(sizes: list[int], weights: list[float], passes: int = MAX_PASSES) -> list[float]:

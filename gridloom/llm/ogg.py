@@ -206,8 +206,8 @@ def store_texts(docs: DataFrame, text: str = "text", keep_media: bool = False) -
                     [*(batch.schema.names[k] for k in kept), *names],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(run, f"{schema}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media)
+    others = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
+    return docs.mapInArrow(run, f"{others}n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media)
 
 
 def op6_ogg_media(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, neardup, ogg, pii
+from . import language, licenses, mixing, neardup, ogg, pii, substrings
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_pii_scan": pii.op4_pii_scan,
+    "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_ogg_media": ogg.op6_ogg_media,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
