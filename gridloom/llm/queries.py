@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, neardup, ogg, pii, substrings
+from . import decontamination, language, licenses, mixing, neardup, ogg, pii, substrings
 
 QUERIES = {
+    "op10_template_decontamination": decontamination.op10_template_decontamination,
     "op1_license_scan": licenses.op1_license_scan,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_pii_scan": pii.op4_pii_scan,
