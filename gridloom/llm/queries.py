@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, neardup, ogg, pii, substrings
+from . import decontamination, fixity, language, licenses, mixing, neardup, ogg, pii, substrings
 
 QUERIES = {
     "op10_template_decontamination": decontamination.op10_template_decontamination,
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_merkle_fixity": fixity.op2_merkle_fixity,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_pii_scan": pii.op4_pii_scan,
     "op5_substring_dedup": substrings.op5_substring_dedup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
 }
-ORACLES = {"op8_source_mix": mixing.ORACLE}
+ORACLES = {"op2_merkle_fixity": fixity.ORACLE, "op8_source_mix": mixing.ORACLE}
