@@ -121,6 +121,23 @@ def fit(labelled: DataFrame, text: Column, label: Column, draw: Column, sample:
     return Model(languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
 
+def _best(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the likeliest language of each text (-1: none) and its posterior probability."""
+    best, sure = np.full(len(texts), -1, np.int64), np.zeros(len(texts))
+    for i, j in _groups(texts):
+        if not model.languages:
+            break
+        starts, letters, orders = _grams(texts[i:j])
+        total = np.tile(model.prior, (j - i, 1))
+        for c in range(len(model.languages)):
+            of_gram = model.log_probability[c]
+            for b in orders:
+                total[:, c] += np.add.reduceat(of_gram[b], starts[:-1], dtype=np.float64)
+        best[i:j] = np.where(letters > 0, total.argmax(1), -1)
+        sure[i:j] = np.where(letters > 0, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+    return best, np.round(sure, 6)
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (the posterior probability, 0 to 1) in place of the text.
 
@@ -133,40 +150,42 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            best, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for i, j in _groups(texts):
-                starts, letters, orders = _grams(texts[i:j])
-                if not model.languages:
-                    best[i:j] = -1
-                    continue
-                total = np.tile(model.prior, (j - i, 1))
-                for c in range(len(model.languages)):
-                    of_gram = model.log_probability[c]
-                    for b in orders:
-                        total[:, c] += np.add.reduceat(of_gram[b], starts[:-1], dtype=np.float64)
-                top = total.argmax(1)
-                best[i:j] = np.where(letters > 0, top, -1)
-                sure[i:j] = np.where(letters > 0, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
+            best, sure = _best(model, [t or "" for t in batch.column(at).to_pylist()])
             kept = [k for k in range(batch.num_columns) if k != at]
             names = pa.array(["und" if b < 0 else model.languages[b] for b in best], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), names, pa.array(np.round(sure, 6))], [*(batch.schema.names[k] for k in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), names, pa.array(sure)], [*(batch.schema.names[k] for k in kept), "lang_pred", "score"])
 
     others = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
     return docs.mapInArrow(score, f"{others}lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language with a posterior probability of ``least`` or more, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            best, sure = _best(shared.value, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
+            yield batch.filter(pa.array((best >= 0) & (sure >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def fit_documents(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """The model of documents whose crc32 of the id as text isn't 1 modulo 3."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    draw = F.when(fold != 1, F.crc32(F.concat(F.lit("draw:"), F.col("doc_id").cast("string"))))
+    return fit(docs.select("doc_id", "text", "lang"), F.col("text"), F.col("lang"), draw, sample)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document.
 
     Learns from documents with a text and a lang whose crc32 of the id as text isn't 1 modulo 3; a null id is
     neither learned from nor held out. Repeated rows are separate documents.
     """
-    rows = docs.select("doc_id", "text", "lang")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    draw = F.when(fold != 1, F.crc32(F.concat(F.lit("draw:"), F.col("doc_id").cast("string"))))
-    model = fit(rows, F.col("text"), F.col("lang"), draw, sample)
-    return predict(rows.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text"), model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), fit_documents(docs, sample))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fixity, language, licenses, mixing, neardup, ogg, pii, substrings
+from . import decontamination, fixity, html, language, licenses, mixing, neardup, ogg, pii, substrings
 
 QUERIES = {
     "op10_template_decontamination": decontamination.op10_template_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_pii_scan": pii.op4_pii_scan,
     "op5_substring_dedup": substrings.op5_substring_dedup,
     "op6_ogg_media": ogg.op6_ogg_media,
+    "op7_page_differencing": html.op7_page_differencing,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
 }
