@@ -1,4 +1,6 @@
 """Every registered raster query and its oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import depths, windows
+from .relations import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "depths", "windows"]
