@@ -1,6 +1,6 @@
 """Every registered raster query and its oracle."""
 
-from . import depths, windows
+from . import control, depths, growths, streams, windows
 from .relations import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "depths", "windows"]
+__all__ = ["ORACLES", "QUERIES", "control", "depths", "growths", "streams", "windows"]
