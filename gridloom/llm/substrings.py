@@ -3,15 +3,17 @@
 Map: each document hashes all its windows of WINDOW consecutive words and deals the distinct hashes to groups by
 hash, packed as one binary row per group and megabyte of text (7 bytes a window; the group number carries the rest
 of the hash). Count: a group sorts its hashes and finds, for each, the smallest document that has it; a document
-whose hash also occurs in a smaller one gets a bit set in a bitmap over its own hashes. Apply: the bitmaps return
-to the documents, which hash their windows again, add their own later repeats, merge the windows into maximal
-removal intervals and drop the covered words. A window that a third of all documents share reaches its group once
+whose hash also occurs in a smaller one gets a bit set in a bitmap over its own hashes. Apply: the bitmaps, packed
+for buckets of documents, meet the texts of their bucket; the documents hash their windows again, add their own later
+repeats, merge the windows into maximal removal intervals and drop the covered words. A window that a third of all documents share reaches its group once
 for each of them at 7 bytes, and the group is one of many, each bounded by GROUP_WINDOWS.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, chunks, run_hashes, stash, table, word_bounds, word_hashes
+from .common import NOT_SPACE, chunks, run_hashes, table, word_bounds, word_hashes
 from .mixing import word_counts
 
 #: Words of a window.
@@ -77,31 +79,57 @@ def window_hashes(docs: DataFrame, key: str, text: str, window: int, groups: int
     return known.mapInArrow(run, "grp int, docs binary, checks binary, counts binary, hashes binary")
 
 
-def _count(rows: pa.Table) -> pa.Table:
-    """Of one group: a bitmap for every document with a hash that a smaller document has too."""
-    docs = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in rows["docs"].to_pylist()])
-    checks = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["checks"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"].to_pylist()]).astype(np.int64)
-    total = int(counts.sum())
-    wide, at = np.zeros((total, 8), np.uint8), 0
-    for x in rows["hashes"].to_pylist():
-        part = np.frombuffer(x, np.uint8).reshape(-1, 7)
-        wide[at : at + len(part), :7] = part
-        at += len(part)
-    hashes = wide.view(np.uint64).ravel()
-    order = np.argsort(hashes, kind="stable")
-    owner = np.repeat(docs, counts)[order]
-    sorted_ = hashes[order]
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    least = np.repeat(np.minimum.reduceat(owner, cuts), np.diff(cuts, append=total))
-    later = np.zeros(total, bool)
-    later[order] = owner > least
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    hit = np.flatnonzero(np.logical_or.reduceat(later, starts))
-    bits = [np.packbits(later[starts[k] : ends[k]]).tobytes() for k in hit.tolist()]
-    group = rows["grp"][0].as_py()
-    return pa.table({"doc": pa.array(docs[hit]), "check": pa.array(checks[hit].astype(np.int32)), "grp": pa.array(np.full(len(hit), group, np.int32)), "bits": pa.array(bits, pa.binary())})
+def _bucket(keys: list[int], buckets: int) -> np.ndarray:
+    return np.array([zlib.crc32(b"%d" % k) % buckets for k in keys], np.int32)
+
+
+def _counter(buckets: int):
+    """Of one group: for each bucket of documents, bitmaps of those with a hash that a smaller document has too."""
+
+    def count(rows: pa.Table) -> pa.Table:
+        docs = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in rows["docs"].to_pylist()])
+        checks = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["checks"].to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["counts"].to_pylist()]).astype(np.int64)
+        total = int(counts.sum())
+        wide, at = np.zeros((total, 8), np.uint8), 0
+        for x in rows["hashes"].to_pylist():
+            part = np.frombuffer(x, np.uint8).reshape(-1, 7)
+            wide[at : at + len(part), :7] = part
+            at += len(part)
+        hashes = wide.view(np.uint64).ravel()
+        order = np.argsort(hashes, kind="stable")
+        owner = np.repeat(docs, counts)[order]
+        sorted_ = hashes[order]
+        cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        least = np.repeat(np.minimum.reduceat(owner, cuts), np.diff(cuts, append=total))
+        later = np.zeros(total, bool)
+        later[order] = owner > least
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        hit = np.flatnonzero(np.logical_or.reduceat(later, starts))
+        to = _bucket(docs[hit].tolist(), buckets)
+        hit, to = hit[np.argsort(to, kind="stable")], np.sort(to)
+        out = []
+        for a in np.flatnonzero(np.diff(to, prepend=-1)).tolist():
+            own = hit[a : int(np.searchsorted(to, to[a], "right"))]
+            bits = [np.packbits(later[starts[k] : ends[k]]).tobytes() for k in own.tolist()]
+            out.append((int(to[a]), docs[own].tobytes(), checks[own].tobytes(), np.array([len(x) for x in bits], np.uint32).tobytes(), b"".join(bits)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        named = dict(zip(("bucket", "docs", "checks", "sizes", "bits"), (pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.binary()] * 4], strict=True)), strict=True))
+        return pa.table({**named, "grp": pa.array([rows["grp"][0].as_py()] * len(out), pa.int32())})
+
+    return count
+
+
+def _bitmaps(rows: pa.Table) -> dict[int, list[tuple[int, int, bytes]]]:
+    """check, group and bitmap by document."""
+    out = defaultdict(list)
+    for row in rows.to_pylist():
+        at = 0
+        for doc, check, size in zip(np.frombuffer(row["docs"], np.int64).tolist(), np.frombuffer(row["checks"], np.uint16).tolist(), np.frombuffer(row["sizes"], np.uint32).tolist(), strict=True):
+            out[doc].append((check, row["grp"], row["bits"][at : at + size]))
+            at += size
+    return out
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -131,46 +159,46 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
         words = word_counts(rows.select("text"), "text").agg(F.sum("size")).first()[0] or 0
         groups = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // GROUP_WINDOWS))
     packed = window_hashes(rows, "key", "text", window, groups)
-    replies = packed.groupBy("grp").applyInArrow(_count, "doc long, check int, grp int, bits binary")
-    replies = stash(replies.groupBy("doc").agg(F.collect_list(F.struct("check", "grp", "bits")).alias("bitmaps")))
-    joined = rows.join(replies.hint("shuffle_hash"), rows["key"] == replies["doc"], "left").select("key", "text", "bitmaps")
-
-    def apply(batches):
-        for batch in batches:
+    replies = packed.groupBy("grp").applyInArrow(_counter(groups), "bucket int, docs binary, checks binary, sizes binary, bits binary, grp int")
+    bucket = F.crc32(F.coalesce(F.col("key").cast("string"), F.col("text"), F.lit(""))) % groups
+    dealt = rows.withColumn("bucket", bucket.cast("int"))
+
+    def apply(texts: pa.Table, maps: pa.Table) -> pa.Table:
+        bitmaps, done = _bitmaps(maps), []
+        for batch in texts.select(["key", "text"]).combine_chunks().to_batches():
+            keys = batch.column(0).to_pylist()
             for i, j, data, offsets, (starts, ends, first), own in _documents(batch.column(1), window):
                 out = []
-                for k, maps in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
+                for k in range(j - i):
                     hashes, n = own[k], int(first[k + 1] - first[k])
                     text_ = data[offsets[k] : offsets[k + 1]]
                     distinct, seen_at, which = np.unique(hashes, return_index=True, return_inverse=True)
                     later = np.ones(len(hashes), bool)
                     later[seen_at] = False
-                    if maps and len(distinct):
+                    if len(distinct) and (found := bitmaps.get(keys[i + k])):
                         check, part = _check(text_.tobytes()), _group(distinct, groups)
                         order = np.argsort(part, kind="stable")
-                        edges = np.searchsorted(part[order], np.arange(groups + 1)) if groups < 4 * len(distinct) else None
+                        part = part[order]
                         earlier = np.zeros(len(distinct), bool)
-                        for m in maps:
-                            if m["check"] == check:
-                                g = m["grp"]
-                                a, b = (edges[g], edges[g + 1]) if edges is not None else np.searchsorted(part[order], [g, g + 1])
-                                earlier[order[a:b]] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=b - a).astype(bool)
+                        for of, group, bits in found:
+                            if of == check:
+                                a, b = np.searchsorted(part, [group, group + 1])
+                                earlier[order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
                         later |= earlier[which]
                     gone = covered(n, np.flatnonzero(later), window)
                     bounds = slice(int(first[k]), int(first[k + 1]))
-                    base = int(offsets[k])
-                    raw = text_.tobytes()
+                    base, raw = int(offsets[k]), text_.tobytes()
                     kept = b" ".join(raw[s - base : e - base] for s, e in zip(starts[bounds][~gone].tolist(), ends[bounds][~gone].tolist(), strict=True))
                     spans = [{"start": s, "end": e} for s, e in intervals(gone)]
                     out.append((n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), spans, *([kept.decode()] if keep_text else [])))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), *([pa.string()] if keep_text else [])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))],
-                    ["key", "n_words", "n_removed", "kept_sha256", "removed", *(["kept"] if keep_text else [])],
-                )
+                done.append(pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names))
+        return pa.Table.from_batches(done, empty)
 
+    names = ["key", "n_words", "n_removed", "kept_sha256", "removed", *(["kept"] if keep_text else [])]
+    empty = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *([("kept", pa.string())] if keep_text else [])])
     schema = "key long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: long, end: long>>" + ", kept string" * keep_text
-    return joined.mapInArrow(apply, schema).withColumnRenamed("key", key)
+    return dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(apply, schema).withColumnRenamed("key", key)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
