@@ -288,10 +288,10 @@ def _find_shuffled(rows: DataFrame, items: DataFrame, kind: str) -> DataFrame:
     lengths = sorted(r[0] for r in known.select("len").distinct().collect())  # LEAST_TOKENS to WINDOW
     if not lengths:
         return _find_broadcast(rows, build_index({}), kind)
-    windows = rows.where("key is not null").mapInArrow(emit(lengths), f"key {kind}, len int, hash long")
+    windows = rows.mapInArrow(emit(lengths), f"key {kind}, len int, hash long")
     pairs = windows.join(known, ["len", "hash"]).select("key", "item").distinct().join(items, "item")
     suspects = pairs.groupBy("key").agg(F.collect_list(F.struct("item", "item_text")).alias("items")).withColumnRenamed("key", "suspect")
-    joined = rows.join(suspects, rows["key"] == suspects["suspect"], "left").select("key", "text", "items")
+    joined = rows.join(suspects, rows["key"].eqNullSafe(suspects["suspect"]), "left").select("key", "text", "items")
 
     def check(batches):
         for batch in batches:

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import LOWER, NOT_SPACE, chunks, mix64, run_hashes, stash, table, word_bounds, word_hashes
-from .components import components
 
 #: Words of a shingle.
 SHINGLE = 5

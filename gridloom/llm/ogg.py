@@ -181,20 +181,20 @@ def probe(media: DataFrame, key: str, column: str) -> DataFrame:
     return media.select(key, column).mapInArrow(read, f"key {kind}, page int, serial long, sequence long, flags int, granule long, valid boolean, packets int, body_bytes long").withColumnRenamed("key", key)
 
 
-def store_texts(docs: DataFrame, text: str = "text", keep_media: bool = False) -> DataFrame:
-    """Every text as an Ogg file, read back: the other columns, the digest of what came back, and ``media`` if asked for.
+def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = False) -> DataFrame:
+    """Every text as an Ogg file, read back: the key, the digest of what came back, and ``media`` if asked for.
 
     A null text is empty. The payload is the UTF-8 text with zero bytes up to a positive multiple of 64. Texts of
-    any length are stored whole; repeated rows give the same values.
+    any length are stored whole; repeated rows give the same values; other columns are left aside.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media"] if keep_media else [])]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if keep_media else [])]
 
+    kind = docs.schema[key].dataType.simpleString()
+
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            kept = [k for k in range(batch.num_columns) if k != at]
-            for i, j, data, offsets in chunks(batch.column(at)):
+            for i, j, data, offsets in chunks(batch.column(1)):
                 rows = []
                 for k in range(j - i):
                     raw = data[offsets[k] : offsets[k + 1]].tobytes()
@@ -202,13 +202,13 @@ def store_texts(docs: DataFrame, text: str = "text", keep_media: bool = False) -
                     payload, seen = decode(media)
                     rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), seen, *([media] if keep_media else [])))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(i, j - i) for k in kept), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))],
-                    [*(batch.schema.names[k] for k in kept), *names],
+                    [batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))],
+                    ["key", *names],
                 )
 
-    others = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
-    return docs.mapInArrow(run, f"{others}n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media)
+    schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
+    return docs.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def op6_ogg_media(spark, sf_dir: str) -> DataFrame:
-    return store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return store_texts(table(spark, sf_dir, "documents"))
