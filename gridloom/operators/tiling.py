@@ -39,7 +39,8 @@ def feather(i: Column, tile: int, overlap: int, first: Column | bool = False, la
     """Weight of cell ``i`` along a window's axis: ramps over the overlaps, 1 between; flat at the scene's outer edges."""
     first, last = (F.lit(x) if isinstance(x, bool) else x for x in (first, last))
     down, up = (tile - i) / (overlap + 1.0), (i + 1) / (overlap + 1.0)
-    ramp = F.when(i >= tile - overlap, F.when(last, F.lit(1.0)).otherwise(down)).when(i < overlap, F.when(first, F.lit(1.0)).otherwise(up)).otherwise(F.lit(1.0))
+    outer = (first & (i < overlap)) | (last & (i >= tile - overlap))
+    ramp = F.when(outer, F.lit(1.0)).when(i >= tile - overlap, down).when(i < overlap, up).otherwise(F.lit(1.0))
     return F.least(F.greatest(ramp, F.lit(LEAST_WEIGHT)), F.lit(1.0))
 
 
