@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Longest n-gram of characters; all shorter ones count too.
 ORDERS = (1, 2, 3)
@@ -100,7 +100,7 @@ def fit(labelled: DataFrame, text: Column, label: Column, draw: Column, sample:
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in _groups(texts):
                 starts, _, orders = _grams(texts[i:j])
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def score(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text)
             best, sure = _best(model, [t or "" for t in batch.column(at).to_pylist()])
             kept = [k for k in range(batch.num_columns) if k != at]
@@ -164,7 +164,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float, text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             best, sure = _best(shared.value, [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             yield batch.filter(pa.array((best >= 0) & (sure >= least)))
 

@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import slices, table
 
 #: Kinds in their order; the first four are counted on their own.
 KINDS = ("email", "ip", "card", "phone", "account", "secret", "url")
@@ -177,7 +177,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column(1).to_pylist():
                 spans = find(t) if t else []
@@ -197,7 +197,7 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(text)
             columns = list(batch.columns)
             old = columns[at].to_pylist()
