@@ -36,7 +36,7 @@ _SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apik
 _ACCOUNT_LEAD = re.compile(r"(?: ?(?:number|no|nr|num|id|nummer)\.?)?[ \t]*[:#=]?[ \t]*", re.IGNORECASE)
 _ACCOUNT = re.compile(r"[A-Z0-9](?:[ -]?[A-Z0-9]){5,33}")
 _SECRET_LEAD = re.compile(r"[ \t]*[:=][ \t]*[\"']?")
-_SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{8,200}")
+_SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{8,}")
 
 
 @functools.cache
@@ -88,12 +88,13 @@ def _account(text: str, after: int) -> tuple[int, int] | None:
     return None
 
 
-def _secret(text: str, after: int) -> tuple[int, int] | None:
+def _secret(text: str, after: int, left: int) -> tuple[tuple[int, int] | None, int]:
+    """The span, and the end of what was judged; a run that starts before ``left`` is the rest of a judged one."""
     lead = _SECRET_LEAD.match(text, after)
-    m = lead and _SECRET.match(text, lead.end())
-    if m and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-        return m.span()
-    return None
+    m = _SECRET.match(text, lead.end()) if lead and lead.end() >= left else None
+    if not m:
+        return None, left
+    return (m.span() if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) else None), m.end()
 
 
 def _url(text: str, at: int, left: int) -> tuple[int, int] | None:
@@ -119,6 +120,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in order of kind and start; those of one kind don't overlap, leftmost first."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     after = dict.fromkeys(KINDS, 0)
+    judged = 0
 
     def take(kind: str, span: tuple[int, int] | None) -> None:
         if span and span[0] >= after[kind]:
@@ -154,7 +156,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
         elif anchor == ":":
             take("url", _url(text, at, after["url"]))
         elif not (at > 0 and _word(text[at - 1])) and not (last + 1 < len(text) and _word(text[last + 1])):
-            take(anchor, _account(text, last + 1) if anchor == "account" else _secret(text, last + 1))
+            if anchor == "account":
+                take("account", _account(text, last + 1))
+            else:
+                span, judged = _secret(text, last + 1, judged)
+                take("secret", span)
     return [(k, *span) for k in KINDS for span in found[k]]
 
 

@@ -58,3 +58,10 @@ def test_redacted_keeps_rows_and_columns(documents, awkward):
 
 def test_long_runs_are_linear():
     pii.find("a" * 200_000 + "@" * 1000 + "1" * 100_000 + "+1" * 20_000 + ". " * 1000 + "1.2.3." * 20_000)
+
+
+def test_long_secrets_go_whole(documents):
+    secret = "eyJ0" + "aB3_-.xyZ9" * 100
+    out = {r.doc_id: r.text for r in pii.redacted(documents([(1, f"token: {secret} end"), (2, f"password={'x' * 300}7"), (3, "token=token=abcdefg1 x")])).collect()}
+    assert out == {1: "token: [SECRET] end", 2: "password=[SECRET]", 3: "token=[SECRET] x"}
+    pii.find("token=" * 200_000)
