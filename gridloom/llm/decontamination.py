@@ -4,7 +4,9 @@ A text becomes a sequence of tokens: words in lower case, with numbers, names an
 placeholders, so that a question keeps its template when its figures or people are exchanged. Windows of WINDOW
 tokens are hashed; windows of documents that equal a benchmark window align document and item. Along an alignment the
 slots must be consistent: one value of the item always became the same value in the document, and the other way
-round. An item leaks into a document if enough of its tokens are covered by consistent alignments.
+round. Windows over the plain words, without placeholders, are joined in the same way and need no slots: they find
+verbatim copies that are dense in figures and names, or whose first word is taken for a name in its new place. An item
+leaks into a document if enough of its tokens are covered by either.
 
 The benchmark's windows are broadcast only if they were counted and are at most BROADCAST_WINDOWS; beyond that the
 windows are joined by a shuffle.
@@ -25,9 +27,9 @@ from .common import ALNUM, LOWER, chunks, mix64, run_hashes, stash, table, word_
 
 #: Tokens of a window; an item of fewer tokens is one window of its own length.
 WINDOW = 8
-#: Tokens of a window that are no placeholders, at least.
+#: Tokens of a template window that are no placeholders, at least; windows over plain words have no such bound.
 LITERALS = 4
-#: Items of fewer tokens say too little to be looked for.
+#: Items of fewer tokens (plain words, where these are looked for) say too little to be looked for.
 LEAST_TOKENS = 4
 #: An item leaks if so many of its tokens are covered, or this share of them.
 COVERED_TOKENS = 13
@@ -77,14 +79,22 @@ class Tokens(NamedTuple):
     literal: np.ndarray  # hash of the word in lower case
     kind: np.ndarray  # 0 or a placeholder's number
     template: np.ndarray  # hash of the word or of its placeholder
+    opening: np.ndarray  # each document's first word
+    words: np.ndarray  # hash of each word in lower case, before words are joined to slots
+    token: np.ndarray  # the token each word belongs to
+
+    def one(self, k: int) -> "Tokens":
+        """The tokens of one document."""
+        (a, b), (c, d) = self.first[k : k + 2], self.opening[k : k + 2]
+        return Tokens(np.array([0, b - a]), self.literal[a:b], self.kind[a:b], self.template[a:b], np.array([0, d - c]), self.words[c:d], self.token[c:d] - a)
 
 
 def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     starts, ends, first = word_bounds(data, offsets, ALNUM)
     if not len(starts):
         none = np.zeros(0, np.uint64)
-        return Tokens(first, none, np.zeros(0, np.int8), none)
-    literal = word_hashes(LOWER[data], starts, ends)
+        return Tokens(first, none, np.zeros(0, np.int8), none, first, none, np.zeros(0, np.int64))
+    words = literal = word_hashes(LOWER[data], starts, ends)
     numbers, units, names = _lists()
     digits, stops, small = _counts(_DIGIT[data]), _counts(_STOP[data]), _counts(_SMALL[data])
     opens = np.zeros(len(starts), bool)
@@ -109,13 +119,15 @@ def tokenize(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     else:
         literal = literal[head]
     kind = kind[head]
-    return Tokens(np.searchsorted(head, first), literal, kind, np.where(kind == 0, literal, _PLACEHOLDERS[kind]))
+    return Tokens(np.searchsorted(head, first), literal, kind, np.where(kind == 0, literal, _PLACEHOLDERS[kind]), first, words, np.cumsum(~joined) - 1)
 
 
-def _windows(template: np.ndarray, kind: np.ndarray, length: int) -> np.ndarray:
-    """Window hashes in order; 0 where a window has too few literals."""
-    out = run_hashes(template, length)
-    literals = _counts(kind == 0)
+def _windows(tokens: Tokens, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` tokens, 0 where one has too few literals; of -``length`` plain words if negative."""
+    if length < 0:
+        return run_hashes(tokens.words, -length)
+    out = run_hashes(tokens.template, length)
+    literals = _counts(tokens.kind == 0)
     out[literals[length:] - literals[: len(out)] < min(LITERALS, length)] = 0
     return out
 
@@ -125,40 +137,40 @@ class Index(NamedTuple):
 
     hashes: dict[int, np.ndarray]
     where: dict[tuple[int, int], list[tuple[int, int]]]
-    items: dict[int, tuple[np.ndarray, np.ndarray]]
+    items: dict[int, Tokens]
 
 
-def item_windows(literal: np.ndarray, kind: np.ndarray) -> tuple[int, np.ndarray]:
-    length = min(WINDOW, len(kind))
-    return length, _windows(np.where(kind == 0, literal, _PLACEHOLDERS[kind]), kind, length)
+def item_lengths(item: Tokens) -> list[int]:
+    """The lengths of an item's windows: over tokens, and negative over plain words."""
+    return [min(WINDOW, len(item.kind))] * (len(item.kind) >= LEAST_TOKENS) + [-min(WINDOW, len(item.words))] * (len(item.words) >= LEAST_TOKENS)
 
 
-def build_index(items: dict[int, tuple[np.ndarray, np.ndarray]]) -> Index:
+def build_index(items: dict[int, Tokens]) -> Index:
     where, hashes = defaultdict(list), defaultdict(set)
-    for item, (literal, kind) in items.items():
-        length, windows = item_windows(literal, kind)
-        for place, h in enumerate(windows.tolist()):
-            if h:
-                where[length, h].append((item, place))
-                hashes[length].add(h)
+    for item, tokens in items.items():
+        for length in item_lengths(tokens):
+            for place, h in enumerate(_windows(tokens, length).tolist()):
+                if h:
+                    where[length, h].append((item, place))
+                    hashes[length].add(h)
     return Index({k: np.sort(np.array(list(v), np.uint64)) for k, v in hashes.items()}, dict(where), items)
 
 
-def aligned(literal: np.ndarray, kind: np.ndarray, item_literal: np.ndarray, item_kind: np.ndarray, hits: list[tuple[int, int]], length: int) -> np.ndarray:
+def aligned(own: Tokens, item: Tokens, hits: list[tuple[int, int]], length: int) -> np.ndarray:
     """Which tokens of an item are covered by windows (document place, item place) with consistent slots."""
-    out = np.zeros(len(item_kind), bool)
+    out = np.zeros(len(item.kind), bool)
     diagonals = defaultdict(list)
     for d, p in hits:
         diagonals[d - p].append(p)
     for shift, places in diagonals.items():
-        cover = np.zeros(len(item_kind), bool)
+        cover = np.zeros(len(item.kind), bool)
         for p in places:
             cover[p : p + length] = True
-        at = np.flatnonzero(cover & (item_kind > 0))
+        at = np.flatnonzero(cover & (item.kind > 0))
         there, here = {}, {}
         consistent = True
         for p in at.tolist():
-            a, b, k = int(item_literal[p]), int(literal[p + shift]), int(item_kind[p])
+            a, b, k = int(item.literal[p]), int(own.literal[p + shift]), int(item.kind[p])
             if there.setdefault((k, a), b) != b or here.setdefault((k, b), a) != a:
                 consistent = False
                 break
@@ -167,21 +179,34 @@ def aligned(literal: np.ndarray, kind: np.ndarray, item_literal: np.ndarray, ite
     return out
 
 
-def leaks(literal: np.ndarray, kind: np.ndarray, template: np.ndarray, index: Index, windows: dict[int, np.ndarray] | None = None) -> list[tuple[int, int, int]]:
+def verbatim(item: Tokens, places: list[int], length: int) -> np.ndarray:
+    """Which tokens of an item lie, with all their words, in windows of ``length`` plain words at ``places``."""
+    words = np.zeros(len(item.words), bool)
+    for p in places:
+        words[p : p + length] = True
+    out = np.ones(len(item.kind), bool)
+    out[item.token[~words]] = False
+    return out
+
+
+def leaks(own: Tokens, index: Index) -> list[tuple[int, int, int]]:
     """(item, covered tokens, tokens) of every item that leaks into one document."""
-    hits = defaultdict(list)
+    hits = defaultdict(lambda: defaultdict(list))
     for length, known in index.hashes.items():
-        own = windows[length] if windows else _windows(template, kind, length)
-        if len(own) and len(known):
-            for d in np.flatnonzero(_among(own, known)).tolist():
-                for item, place in index.where[length, int(own[d])]:
-                    hits[item, length].append((d, place))
+        windows = _windows(own, length)
+        if len(windows) and len(known):
+            for d in np.flatnonzero(_among(windows, known)).tolist():
+                for item, place in index.where[length, int(windows[d])]:
+                    hits[item][length].append((d, place))
     out = []
-    for (item, length), places in sorted(hits.items()):
-        item_literal, item_kind = index.items[item]
-        n = int(aligned(literal, kind, item_literal, item_kind, places, length).sum())
-        if n >= min(COVERED_TOKENS, len(item_kind)) or n >= COVERED_SHARE * len(item_kind):
-            out.append((item, n, len(item_kind)))
+    for item, by_length in sorted(hits.items()):
+        tokens = index.items[item]
+        cover = np.zeros(len(tokens.kind), bool)
+        for length, places in by_length.items():
+            cover |= aligned(own, tokens, places, length) if length > 0 else verbatim(tokens, [p for _, p in places], -length)
+        n = int(cover.sum())
+        if n >= min(COVERED_TOKENS, len(cover)) or n >= COVERED_SHARE * len(cover):
+            out.append((item, n, len(cover)))
     return out
 
 
@@ -203,23 +228,23 @@ def _result(rows: list, keys: pa.Array) -> pa.RecordBatch:
 _SCHEMA = "n_tokens long, n_items long, item_ids string, contaminated boolean, leaks array<struct<item_id: long, covered: long, tokens: long>>"
 
 
-def _tokens_of(items: list[tuple[int, str]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _tokens_of(items: list[tuple[int, str]]) -> dict[int, Tokens]:
     out = {}
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         t = tokenize(data, np.array([0, len(data)]))
-        if len(t.kind) >= LEAST_TOKENS:
-            out[item] = (t.literal, t.kind)
+        if len(t.words) >= LEAST_TOKENS:
+            out[item] = t
     return out
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BROADCAST_WINDOWS) -> DataFrame:
     """key, n_tokens, n_items, item_ids (comma-joined, ascending), contaminated and leaks of every row of ``docs``.
 
-    Whole texts are read. Null and empty texts, an empty benchmark, items with a null text or id or of fewer than
-    LEAST_TOKENS tokens, and items without a window of LITERALS plain words give no leaks. Item ids are whole numbers;
-    a repeated id is one item, its last text in code point order. Repeated rows of ``docs`` give equal rows; other
-    columns are left aside.
+    Whole texts are read. Null and empty texts, an empty benchmark and items with a null text or id or of fewer than
+    LEAST_TOKENS words give no leaks; an item without a template window of LITERALS plain words is found where its
+    words are copied. Item ids are whole numbers; a repeated id is one item, its last text in code point order.
+    Repeated rows of ``docs`` give equal rows; other columns are left aside.
     """
     kind = docs.schema[key].dataType.simpleString()
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null")
@@ -246,15 +271,14 @@ def _find_broadcast(rows: DataFrame, index: Index, kind: str) -> DataFrame:
                 tokens = tokenize(data, offsets)
                 suspects = set()
                 for length, sieve in sieves.items():
-                    own = _windows(tokens.template, tokens.kind, length)
+                    own = _windows(tokens, length)
                     at = np.flatnonzero(sieve[(own >> np.uint64(44)).astype(np.int64)])
                     if len(at):
                         at = at[_among(own[at], index.hashes[length])]
-                        suspects |= set((np.searchsorted(tokens.first, at, "right") - 1).tolist())
+                        suspects |= set((np.searchsorted(tokens.first if length > 0 else tokens.opening, at, "right") - 1).tolist())
                 rows = []
                 for k in range(j - i):
-                    a, b = int(tokens.first[k]), int(tokens.first[k + 1])
-                    rows.append((b - a, leaks(tokens.literal[a:b], tokens.kind[a:b], tokens.template[a:b], index) if k in suspects else []))
+                    rows.append((int(tokens.first[k + 1] - tokens.first[k]), leaks(tokens.one(k), index) if k in suspects else []))
                 yield _result(rows, batch.column(0).slice(i, j - i))
 
     return rows.mapInArrow(run, f"key {kind}, {_SCHEMA}")
@@ -270,11 +294,9 @@ def _find_shuffled(rows: DataFrame, items: DataFrame, kind: str) -> DataFrame:
                     tokens = tokenize(data, offsets)
                     hashes, places, sizes = [], [], []
                     for k in range(j - i):
-                        a, b = int(tokens.first[k]), int(tokens.first[k + 1])
-                        if lengths is None and b - a < LEAST_TOKENS:
-                            continue
-                        for length in lengths or [min(WINDOW, b - a)]:
-                            own = np.unique(_windows(tokens.template[a:b], tokens.kind[a:b], length))
+                        one = tokens.one(k)
+                        for length in item_lengths(one) if lengths is None else lengths:
+                            own = np.unique(_windows(one, length))
                             own = own[own > 0]
                             hashes.append(own)
                             places += [k] * len(own)
@@ -285,7 +307,7 @@ def _find_shuffled(rows: DataFrame, items: DataFrame, kind: str) -> DataFrame:
         return run
 
     known = stash(items.mapInArrow(emit(None), "key long, len int, hash long").select(F.col("key").alias("item"), "len", "hash"))
-    lengths = sorted(r[0] for r in known.select("len").distinct().collect())  # LEAST_TOKENS to WINDOW
+    lengths = sorted(r[0] for r in known.select("len").distinct().collect())  # LEAST_TOKENS to WINDOW, and negative
     if not lengths:
         return _find_broadcast(rows, build_index({}), kind)
     windows = rows.mapInArrow(emit(lengths), f"key {kind}, len int, hash long")
@@ -298,9 +320,8 @@ def _find_shuffled(rows: DataFrame, items: DataFrame, kind: str) -> DataFrame:
             for i, j, data, offsets in chunks(batch.column(1)):
                 tokens, out = tokenize(data, offsets), []
                 for k, own in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
-                    a, b = int(tokens.first[k]), int(tokens.first[k + 1])
-                    found = leaks(tokens.literal[a:b], tokens.kind[a:b], tokens.template[a:b], build_index(_tokens_of([(x["item"], x["item_text"]) for x in own]))) if own else []
-                    out.append((b - a, found))
+                    found = leaks(tokens.one(k), build_index(_tokens_of([(x["item"], x["item_text"]) for x in own]))) if own else []
+                    out.append((int(tokens.first[k + 1] - tokens.first[k]), found))
                 yield _result(out, batch.column(0).slice(i, j - i))
 
     return joined.mapInArrow(check, f"key {kind}, {_SCHEMA}")

@@ -49,3 +49,11 @@ def test_slots():
 
     assert kinds("pay 1,000.50 dollars to New York now") == [0, d.NUMBER, d.UNIT, 0, d.NAME, 0]
     assert kinds("five kg. The end") == [d.NUMBER, d.UNIT, 0, 0] and kinds("ALL CAPS words") == [0, 0, 0]
+
+
+def test_verbatim_copies_of_slot_dense_items(spark, documents):
+    asked = [(1, "What is 12 * 7 + 5?"), (2, "Alice has 5 apples and Bob 3"), (3, "Add 5 to nine"), (4, "Paris lies on the old river"), (5, "New York City Hall")]
+    docs = documents([(i, f"Question {t} and so on") for i, t in asked] + [(6, "What is 12 * 8 + 5? Alice has 5 apples and Bob 4"), (7, "they say, paris lies on the old river.")])
+    for most in (10**6, 1):
+        got = {r.doc_id: r.item_ids for r in d.find(docs, items(spark, asked), most=most).collect()}
+        assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "", 7: "4"}
