@@ -3,8 +3,8 @@
 A text becomes a sequence of tokens: words in lower case, with numbers, names and units replaced by typed
 placeholders, so that a question keeps its template when its figures or people are exchanged. Windows of WINDOW
 tokens are hashed; windows of documents that equal a benchmark window align document and item. Along an alignment the
-slots must be consistent: one value of the item always became the same value in the document, and the other way
-round. Windows over the plain words, without placeholders, are joined in the same way and need no slots: they find
+slots must be consistent: within a run of windows one value of the item always became the same value in the document
+(two values may become one). Windows over the plain words, without placeholders, are joined in the same way and need no slots: they find
 verbatim copies that are dense in figures and names, or whose first word is taken for a name in its new place. An item
 leaks into a document if enough of its tokens are covered by either.
 
@@ -157,25 +157,27 @@ def build_index(items: dict[int, Tokens]) -> Index:
 
 
 def aligned(own: Tokens, item: Tokens, hits: list[tuple[int, int]], length: int) -> np.ndarray:
-    """Which tokens of an item are covered by windows (document place, item place) with consistent slots."""
+    """Which tokens of an item are covered by windows (document place, item place) with consistent slots.
+
+    Windows that overlap or touch on one diagonal are a run; a run in which a value became two is no evidence, except
+    for its tokens that ``verbatim`` covers.
+    """
     out = np.zeros(len(item.kind), bool)
-    diagonals = defaultdict(list)
+    diagonals = defaultdict(set)
     for d, p in hits:
-        diagonals[d - p].append(p)
+        diagonals[d - p].add(p)
     for shift, places in diagonals.items():
-        cover = np.zeros(len(item.kind), bool)
-        for p in places:
-            cover[p : p + length] = True
-        at = np.flatnonzero(cover & (item.kind > 0))
-        there, here = {}, {}
-        consistent = True
-        for p in at.tolist():
-            a, b, k = int(item.literal[p]), int(own.literal[p + shift]), int(item.kind[p])
-            if there.setdefault((k, a), b) != b or here.setdefault((k, b), a) != a:
-                consistent = False
-                break
-        if consistent:
-            out |= cover
+        runs: list[list[int]] = []
+        for p in sorted(places):
+            if runs and p <= runs[-1][1]:
+                runs[-1][1] = p + length
+            else:
+                runs.append([p, p + length])
+        for start, end in runs:
+            there = {}
+            slots = (start + np.flatnonzero(item.kind[start:end])).tolist()
+            if all(there.setdefault((int(item.kind[p]), int(item.literal[p])), int(own.literal[p + shift])) == int(own.literal[p + shift]) for p in slots):
+                out[start:end] = True
     return out
 
 

@@ -57,3 +57,14 @@ def test_verbatim_copies_of_slot_dense_items(spark, documents):
     for most in (10**6, 1):
         got = {r.doc_id: r.item_ids for r in d.find(docs, items(spark, asked), most=most).collect()}
         assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "", 7: "4"}
+
+
+def test_slots_are_judged_by_run_and_one_way(spark, documents):
+    asked = [(9, "Tom has 5 apples and 3 pears in his basket now while she slowly eats 5 plums with 3 figs and some bread")]
+    swap = lambda *new: asked[0][1].replace("5 apples", f"{new[0]} apples").replace("3 pears", f"{new[1]} pears").replace("5 plums", f"{new[2]} plums").replace("3 figs", f"{new[3]} figs")
+    tail = " and they all sit down near the wide river"
+    docs = documents([(1, swap(4, 4, 4, 4)), (2, swap(7, 2, 9, 2).replace("now", "soon")), (3, swap(7, 2, 9, 2)), (4, asked[0][1].replace("3 figs", "4 figs") + tail)])
+    asked.append((8, asked[0][1] + tail))
+    for most in (10**6, 1):
+        got = {r.doc_id: r.item_ids.split(",") for r in d.find(docs, items(spark, asked), most=most).collect()}
+        assert "9" in got[1] and "9" in got[2] and got[3] == [""] and "8" in got[4]
