@@ -1,7 +1,8 @@
-"""Signature rules of licences, in order: label | tier | keywords that must all occur | pattern.
+"""Signature rules of licences, in order: label | tier | keywords that must all occur (a/b: one of them) | pattern.
 
 Patterns run over a text's words in lower case joined by single spaces, where "GPL-2.0-only" is ``gpl 2 0 only``.
-A rule's first keyword is its rare one: a text without the first keyword of any rule is never searched.
+A rule's first keyword is its rare one: a text without the first keyword of any rule is never searched. Every string
+that a pattern matches holds the rule's keywords as whole words; the tests generate such strings for all rules.
 Tiers: 5 licence text, 4 machine-readable tag, 3 notice, 2 name with version, 1 bare name.
 """
 
@@ -18,11 +19,11 @@ _UNDER = r"(?:licensed|released|distributed|published|available|provided|covered
 
 _RULES = r"""
 apache-2.0|5|apache|apache license version 2 0 january 2004
-apache-2.0|5|licensor|subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide
+apache-2.0|5|contributor,perpetual|subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide
 apache-2.0|3|apache|UNDER apache (?:software )?licen[sc]e,? ?VER2(?: 0)?
 apache-2.0|3|apache,license|licensed under the apache license version 2 0 the license
 apache-2.0|3|www,apache|(?:you may obtain a copy of the license at )?https? www apache org licenses license 2 0(?: txt| html)?
-apache-2.0|3|dual,apache|dual licensed under (?:the )?(?:mit|apache)(?: license)?(?: and| or) (?:the )?(?:mit|apache)(?: license)?(?: VER2 0)?
+apache-2.0|3|dual,apache|dual licensed under (?:the )?(?:mit(?: license)?(?: and| or) (?:the )?apache|apache(?: license)?(?: and| or) (?:the )?(?:mit|apache))(?: license)?(?: VER2 0)?
 apache-2.0|2|apache|apache (?:software |public )?licen[sc]e VER2(?: 0)?
 apache-2.0|2|apache|apache 2(?: 0)? licen[sc]e
 apache-2.0|2|asl|asl 2(?: 0)?
@@ -32,12 +33,12 @@ apache-1.0|2|apache|apache (?:software )?licen[sc]e VER1(?: 0)?
 apache-1.0|5|apache|this product includes software developed by the apache group for use in the apache http server
 apache|1|apache|apache licen[sc]e
 apache|1|apache|apache style licen[sc]e
-mit|5|sublicense|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit|5|obtaining,associated|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit|5|noninfringement|the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
-mit|3|license,mit|UNDER mit licen[sc]e
+mit|3|license/licence,mit|UNDER mit licen[sc]e
 mit|3|license,mit|this (?:project|software|work|code|package|library) is (?:licensed|released|distributed) under the mit license
 mit|3|opensource,mit|https? (?:www )?opensource org licenses? mit(?: license)?(?: php| html)?
-mit|2|license,mit|(?:the )?mit licen[sc]e mit
+mit|2|license/licence,mit|(?:the )?mit licen[sc]e mit
 mit|2|licence,mit|(?:the )?mit licence
 mit|1|license,mit|mit (?:style |x11 |expat )?license
 mit|1|expat|expat licen[sc]e
@@ -45,8 +46,8 @@ mit|1|licensed,mit|mit licensed
 mit-0|2|attribution,mit|mit no attribution(?: licen[sc]e)?
 x11|1|x11|x11 licen[sc]e
 x11|5|consortium|x consortium be liable for any claim damages or other liability
-bsd-2-clause|5|redistributions|redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
-bsd-3-clause|5|redistributions,neither|neither the name of (?:\w+ ){1,12}nor the names of its contributors may be used to endorse or promote products
+bsd-2-clause|5|redistribution,permitted|redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd-3-clause|5|endorse,neither|neither the name of (?:\w+ ){1,12}nor the names of its contributors may be used to endorse or promote products
 bsd-4-clause|5|advertising|all advertising materials mentioning features or use of this software must display the following acknowledgement
 bsd-3-clause|3|bsd|UNDER (?:new |modified |revised |3 clause |three clause )bsd licen[sc]e
 bsd-2-clause|3|bsd|UNDER (?:simplified |freebsd |2 clause |two clause )bsd licen[sc]e
@@ -130,7 +131,7 @@ gfdl-1.2|2|documentation,free|gnu free documentation licen[sc]e VER1 2
 gfdl-1.3|2|documentation,free|gnu free documentation licen[sc]e VER1 3
 gfdl|1|documentation,free|(?:gnu )?free documentation licen[sc]e
 gfdl|1|gfdl|gfdl
-gfdl|3|documentation,invariant|with no invariant sections no front cover texts and no back cover texts
+gfdl|3|invariant|with no invariant sections no front cover texts and no back cover texts
 mpl-1.0|2|mozilla|mozilla public licen[sc]e VER1(?: 0)?
 mpl-1.1|2|mozilla|mozilla public licen[sc]e VER1 1
 mpl-2.0|2|mozilla|mozilla public licen[sc]e VER2(?: 0)?
@@ -188,7 +189,7 @@ public-domain|3|domain|(?:is|are) (?:hereby )?in the public domain
 public-domain|2|domain|public domain (?:dedication|mark|work|notice)
 cc0-1.0|2|cc0|cc0 1 0(?: universal)?
 cc0-1.0|1|cc0|cc0
-cc0-1.0|5|waive,affirmer|affirmer hereby overtly fully permanently irrevocably and unconditionally waives
+cc0-1.0|5|waives,affirmer|affirmer hereby overtly fully permanently irrevocably and unconditionally waives
 cc0-1.0|3|publicdomain|https? creativecommons org publicdomain zero 1 0
 pdm-1.0|3|publicdomain|https? creativecommons org publicdomain mark 1 0
 cc-by-1.0|2|cc|cc by 1 0
@@ -282,13 +283,13 @@ upl-1.0|1|universal,permissive|universal permissive licen[sc]e(?: VER1(?: 0)?)?
 ncsa|1|ncsa|(?:university of illinois )?ncsa open source licen[sc]e
 w3c|1|w3c|w3c software(?: notice and)?(?: and document)? licen[sc]e
 openssl|1|openssl|openssl licen[sc]e
-ssleay|5|ssleay|this product includes cryptographic software written by eric young
+ssleay|5|cryptographic,young|this product includes cryptographic software written by eric young
 postgresql|1|postgresql|postgresql licen[sc]e
 vim|1|vim|vim licen[sc]e
 json|5|evil|the software shall be used for good not evil
 lppl-1.3c|2|latex|latex project public licen[sc]e(?: VER1 3c?)?
 lppl|1|lppl|lppl
-qpl-1.0|1|qpl|q public licen[sc]e(?: VER1(?: 0)?)?
+qpl-1.0|1|q,public|q public licen[sc]e(?: VER1(?: 0)?)?
 sleepycat|1|sleepycat|sleepycat licen[sc]e
 blueoak-1.0.0|1|oak|blue oak model licen[sc]e(?: VER1 0 0)?
 mulan-2.0|1|mulan|mulan permissive software licen[sc]e(?: VER2)?
@@ -299,15 +300,15 @@ elastic-2.0|1|elastic|elastic licen[sc]e(?: VER2(?: 0)?)?
 commons-clause|1|clause,commons|commons clause(?: licen[sc]e condition)?(?: VER1 0)?
 polyform-nc-1.0|1|polyform|polyform noncommercial licen[sc]e(?: 1 0 0)?
 openrail|1|openrail|(?:creativeml )?openrail(?: m)?(?: licen[sc]e)?
-openrail|1|rail|responsible ai licen[sc]e
+openrail|1|responsible,ai|responsible ai licen[sc]e
 llama-community|1|llama|llama (?:\d )?(?:\d )?community licen[sc]e(?: agreement)?
 proprietary|3|proprietary|proprietary and confidential
-proprietary|3|unauthorized|unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|software|work|document|material)
+proprietary|3|unauthorized/unauthorised|unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|software|work|document|material)
 proprietary|3|reproduced|no part of this (?:\w+ )?(?:may|can) be reproduced
-proprietary|2|commercial,license|commercial licen[sc]e(?: agreement)? (?:is )?required
+proprietary|2|commercial,license/licence|commercial licen[sc]e(?: agreement)? (?:is )?required
 proprietary|1|eula|(?:end user licen[sc]e agreement )?eula
 proprietary|1|agreement,user|end user licen[sc]e agreement
-noncommercial|2|commercial,only|(?:for )?non ?commercial (?:use|purposes|research) only
+noncommercial|2|commercial/noncommercial,only|(?:for )?non ?commercial (?:use|purposes|research) only
 noncommercial|2|commercial,not|not for commercial use
 research-only|2|research,only|(?:for )?research (?:use|purposes) only
 copyright|2|copyright|(?:c )?copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?
@@ -366,14 +367,22 @@ other|4|spdx|spdx license identifier [a-z]+(?: \w+)?
 class Rule(NamedTuple):
     label: str
     tier: int
-    keywords: tuple[bytes, ...]
+    gate: tuple[frozenset[bytes], ...]
     pattern: re.Pattern
 
+    @property
+    def keywords(self) -> tuple[bytes, ...]:
+        return tuple(k for choice in self.gate for k in sorted(choice))
+
+    def may_match(self, words: set[bytes]) -> bool:
+        return not any(words.isdisjoint(choice) for choice in self.gate)
+
 
 def load() -> list[Rule]:
     rules = []
     for line in _RULES.strip().splitlines():
         label, tier, keywords, pattern = line.split("|", 3)
         pattern = pattern.replace("VER", _V).replace("UNDER ", _UNDER)
-        rules.append(Rule(label, int(tier), tuple(k.encode() for k in keywords.split(",")), re.compile(b"(?<= )(?:" + pattern.encode() + b")(?= )")))
+        gate = tuple(frozenset(k.encode().split(b"/")) for k in keywords.split(","))
+        rules.append(Rule(label, int(tier), gate, re.compile(b"(?<= )(?:" + pattern.encode() + b")(?= )")))
     return rules

@@ -33,7 +33,7 @@ _WORDS = np.where(ALNUM, LOWER, 0x20).astype(np.uint8)
 def _rules():
     rules = load()
     automaton = ahocorasick.Automaton()
-    for word in {*(r.keywords[0] for r in rules), *BASE_WORDS}:
+    for word in {*(k for r in rules for k in r.gate[0]), *BASE_WORDS}:
         automaton.add_word(f" {word.decode('latin-1')} ", True)
     automaton.make_automaton()
     base = [(re.compile(b"(?= " + p + b" )"), len(p.split()), label) for p, label in BASE.items()]
@@ -63,7 +63,7 @@ def scan_words(words: list[bytes]) -> tuple[int, int | None, int | None, set[str
             places += np.searchsorted(gaps, at).tolist()
     present, found = set(words), []
     for k, rule in enumerate(rules):
-        if present.issuperset(rule.keywords):
+        if rule.may_match(present):
             for m in rule.pattern.finditer(text):
                 found.append((int(np.searchsorted(gaps, m.start() - 1)), int(np.searchsorted(gaps, m.end())), rule.tier, k))
     return len(places), min(places, default=None), max(places, default=None), labels, suppress(found)

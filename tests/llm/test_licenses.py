@@ -1,4 +1,6 @@
+import random
 import re
+from re import _constants as c, _parser
 
 from gridloom.llm import licenses, license_rules
 
@@ -68,3 +70,40 @@ def test_awkward(awkward):
     assert by[4].n_words == 200_006 and by[4].base_labels == "cc-by" and by[4].labels == "cc-by,cc-by-4.0" and by[4].first_word == 200_002
     assert by[1].first_word is None and by[1].labels == "" and by[1].score == 0
     assert licenses.scan(awkward.limit(0)).count() == 0
+
+
+def generated(parsed, r):
+    """A random string that a pattern matches; repeats at their least and most, lookarounds left out."""
+    out = b""
+    for op, arg in parsed:
+        if op is c.LITERAL:
+            out += bytes([arg])
+        elif op is c.IN:
+            out += {c.LITERAL: lambda v: bytes([v]), c.RANGE: lambda v: bytes([r.choice(v)]), c.CATEGORY: lambda v: b"7" if v is c.CATEGORY_DIGIT else b"w"}[(x := r.choice(arg))[0]](x[1])
+        elif op is c.BRANCH:
+            out += generated(r.choice(arg[1]), r)
+        elif op is c.SUBPATTERN:
+            out += generated(arg[3], r)
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            for _ in range(r.choice((arg[0], min(arg[1], 3 if arg[0] < 3 else arg[0])))):
+                out += generated(arg[2], r)
+        else:
+            assert op in (c.ASSERT, c.ASSERT_NOT), op
+    return out
+
+
+def test_whatever_a_pattern_matches_passes_its_gate():
+    r = random.Random(7)
+    for rule in license_rules.load():
+        parsed = _parser.parse(rule.pattern.pattern)
+        for _ in range(200):
+            text = generated(parsed, r)
+            if rule.pattern.search(b" " + text + b" "):
+                assert rule.may_match(set(text.split())), (rule.label, text)
+
+
+def test_spellings_reach_their_rules(documents):
+    texts = {1: "For noncommercial use only", 2: "Unauthorised copying of this file", 3: "A commercial licence required", 4: "licensed under the MIT licence", 5: "Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives"}
+    got = {r.doc_id: r.labels for r in licenses.scan(documents(list(texts.items()))).collect()}
+    tiers = {d.tier for d in licenses.scan(documents([(4, texts[4])])).first().detections}
+    assert got == {1: "noncommercial", 2: "proprietary", 3: "proprietary", 4: "mit", 5: "cc0-1.0"} and tiers == {3}
