@@ -1,10 +1,12 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages of a host are ordered by URL path, and each page is paired with the nearest page that isn't a copy of it. The
-two pages' text lines are aligned by their longest common subsequence, and lines that they share (menus, notices,
-footers of the site's template) are deleted. Elements that the markup itself names as no content (navigation, forms,
-scripts, adverts, comments ...) go first. Where a page marks its article, the article bounds the text and its own
-lines are never deleted: pages at near URLs may carry one article twice.
+Pages of a host with the same lines count as one. They are ordered by URL path, and each is paired with the nearest
+page that isn't a copy of it. The two pages' text lines are aligned by their longest common subsequence, and lines
+that they share (menus, notices, footers of the site's template) are deleted, as are lines of the host's template:
+those on half of its distinct pages, where it has a few. Copies are judged by the lines outside the template. Elements
+that the markup itself names as no content (navigation, forms, scripts, adverts, comments ...) go first. Where a page
+marks its article, the article bounds the text and its own lines are never deleted: pages at near URLs may carry one
+article twice.
 
 Only hashed lines move for the pairing: rows are range-partitioned by (host, path), so that a host with a third of
 all pages spreads over tasks, and a few rows at each border are handed to the neighbouring partition.
@@ -27,8 +29,13 @@ from .common import slices, stash, table
 
 #: Pages on each side in path order among which a partner is looked for.
 NEIGHBOURS = 8
-#: A page that shares at least so many of its lines is a copy and no partner.
+#: A page that shares at least so many of its lines outside the host's template is a copy and no partner.
 COPY_SHARE = 0.8
+#: A line is the host's template if it stands on this share of the host's distinct pages and on so many of them (two
+#: pages may share a sentence), if the host has so many pages.
+TEMPLATE_SHARE = 0.5
+TEMPLATE_LEAST = 3
+TEMPLATE_PAGES = 4
 #: Rows of a range partition.
 PARTITION_ROWS = 20_000
 #: Pages whose line masks are broadcast at most.
@@ -188,20 +195,48 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (m[1].lower().removeprefix("www."), m[2].rstrip("/") or "/") if m else ("", url or "")
 
 
+def _identity(url: str | None, lines: list[str], marked: bool) -> tuple[int, bytes]:
+    """What pages of a host with the same lines share, and the hashed lines."""
+    hashes = np.array([_hash(x) for x in lines], np.int64).tobytes()
+    return _uid(host_and_path(url)[0], str(marked), hashes.hex()), hashes
+
+
 def _lines(pages: DataFrame) -> DataFrame:
-    """uid, host, path, marked and hashed lines of every page."""
+    """uid, host, path, marked and hashed lines of every distinct page that has lines."""
 
     def run(batches):
         for batch in slices(batches):
             rows = []
             for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines, marked = content(page or "")
-                rows.append((_uid(url, page), *host_and_path(url), marked, np.array([_hash(x) for x in lines], np.int64).tobytes()))
+                if lines:
+                    uid, hashes = _identity(url, lines, marked)
+                    rows.append((uid, *host_and_path(url), marked, hashes))
             if rows:
                 types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["uid", "host", "path", "marked", "hashes"])
 
-    return pages.mapInArrow(run, "uid long, host string, path string, marked boolean, hashes binary")
+    lines = pages.mapInArrow(run, "uid long, host string, path string, marked boolean, hashes binary")
+    return lines.groupBy("uid").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("marked").alias("marked"), F.first("hashes").alias("hashes"))
+
+
+def _templates(lines: DataFrame) -> DataFrame:
+    """host and template: the hashed lines that stand on many of a host's distinct pages."""
+
+    def run(batches):
+        for batch in batches:
+            hosts, hashes = [], []
+            for k, x in enumerate(batch["hashes"].to_pylist()):
+                own = np.unique(np.frombuffer(x, np.int64))
+                hosts += [k] * (len(own) + 1)
+                hashes += [*own.tolist(), None]
+            yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(hosts, pa.int64())), pa.array(hashes, pa.int64())], ["host", "line"])
+
+    counts = lines.select("host", "hashes").mapInArrow(run, "host string, line long").groupBy("host", "line").count()
+    counts = stash(counts.where(f"count >= {TEMPLATE_LEAST}"))
+    pages = counts.where(f"line is null and count >= {TEMPLATE_PAGES}").select("host", F.col("count").alias("pages"))
+    usual = counts.where("line is not null").join(pages, "host").where(F.col("count") >= TEMPLATE_SHARE * F.col("pages"))
+    return usual.groupBy("host").agg(F.collect_list("line").alias("template"))
 
 
 def _with_borders(batches):
@@ -226,10 +261,11 @@ def _with_borders(batches):
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """uid and a bitmap of the lines shared with the partner, for the rows of one partition that mark no article."""
+    """uid and a bitmap of the lines that go, the template's and those shared with the partner, for rows that mark no article."""
     rows = rows.sort_by([("host", "ascending"), ("path", "ascending"), ("uid", "ascending")])
     uid, host, path = (rows[c].to_pylist() for c in ("uid", "host", "path"))
     hashes = [np.frombuffer(x, np.int64).tolist() for x in rows["hashes"].to_pylist()]
+    templates = [frozenset(x or ()) for x in rows["template"].to_pylist()]
     out = {}
 
     def closeness(i: int, j: int) -> tuple[int, int]:
@@ -239,24 +275,28 @@ def _shared(rows: pa.Table) -> pa.Table:
         return -n, abs(i - j)
 
     for i, (marked, context) in enumerate(zip(rows["marked"].to_pylist(), rows["context"].to_pylist(), strict=True)):
-        if marked or context or uid[i] in out or not hashes[i]:
+        if marked or context:
             continue
-        near = [j for j in range(max(0, i - NEIGHBOURS), min(len(uid), i + NEIGHBOURS + 1)) if j != i and host[j] == host[i] and uid[j] != uid[i]]
+        usual = [x in templates[i] for x in hashes[i]]
+        gone = usual
+        near = [] if marked else [j for j in range(max(0, i - NEIGHBOURS), min(len(uid), i + NEIGHBOURS + 1)) if j != i and host[j] == host[i]]
         for j in sorted(near, key=lambda j: (*closeness(i, j), j)):
             flags = common_lines(hashes[i], hashes[j])
-            if sum(flags) < COPY_SHARE * len(flags):
-                if any(flags):
-                    out[uid[i]] = np.packbits(np.array(flags)).tobytes()
+            if sum(f and not u for f, u in zip(flags, usual, strict=True)) < COPY_SHARE * (len(usual) - sum(usual)) or all(usual):
+                gone = [f or u for f, u in zip(flags, usual, strict=True)]
                 break
+        if any(gone):
+            out[uid[i]] = np.packbits(np.array(gone)).tobytes()
     return pa.table({"uid": pa.array(list(out), pa.int64()), "bits": pa.array(list(out.values()), pa.binary())})
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """uid and bits: the content lines of a page that it shares with the nearest page of its host."""
+    """uid and bits: the content lines of a page that belong to its host's template or that the nearest page shares."""
     lines = stash(_lines(pages.select("url", "html")))
     parts = max(1, -(-lines.count() // PARTITION_ROWS))
+    lines = lines.join(_templates(lines), "host", "left").select("uid", "host", "path", "marked", "hashes", "template")
     ranged = lines.repartitionByRange(parts, "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
-    bordered = ranged.mapInArrow(_with_borders, "uid long, host string, path string, marked boolean, hashes binary, part int, context boolean")
+    bordered = ranged.mapInArrow(_with_borders, "uid long, host string, path string, marked boolean, hashes binary, template array<long>, part int, context boolean")
     return bordered.groupBy("part").applyInArrow(_shared, "uid long, bits binary")
 
 
@@ -269,12 +309,13 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(key).alias("key"), "url", "html")
-    shared = stash(shared_lines(rows).dropDuplicates(["uid"]))
+    shared = stash(shared_lines(rows))
     few = shared.limit(BROADCAST_PAGES + 1).collect()
 
-    def text(url, page, bits):
+    def text(url, page, bits_of):
         lines, marked = content(page or "")
-        if bits is not None and not marked:
+        bits = bits_of(lines, marked, url) if lines else None
+        if bits is not None:
             gone = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(lines)).astype(bool)
             lines = [x for x, g in zip(lines, gone, strict=True) if not g]
         return "\n".join(lines)
@@ -287,20 +328,20 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
         masks = rows.sparkSession.sparkContext.broadcast({r["uid"]: bytes(r["bits"]) for r in few})
 
         def run(batches):
+            find = lambda lines, marked, url: masks.value.get(_identity(url, lines, marked)[0]) if masks.value else None
             for batch in slices(batches):
-                columns = zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)
-                yield out(batch, [text(u, p, masks.value.get(_uid(u, p)) if masks.value else None) for u, p in columns])
+                yield out(batch, [text(u, p, find) for u, p in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)])
 
         return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
     def identify(batches):
         for batch in slices(batches):
-            uids = [_uid(u, p) for u, p in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)]
+            uids = [_identity(u, *content(p or ""))[0] for u, p in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uids, pa.int64())], [*batch.schema.names, "uid"])
 
     def run_joined(batches):
         for batch in batches:
-            yield out(batch, [text(*x) for x in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), batch["bits"].to_pylist(), strict=True)])
+            yield out(batch, [text(u, p, lambda *_: b) for u, p, b in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), batch["bits"].to_pylist(), strict=True)])  # noqa: B023
 
     named = rows.mapInArrow(identify, f"key {kind}, url string, html string, uid long")
     return named.join(shared, "uid", "left").select("key", "url", "html", "bits").mapInArrow(run_joined, schema).withColumnRenamed("key", key)

@@ -72,3 +72,18 @@ def test_copies_are_no_partners_and_articles_stay(spark):
     assert got[1].startswith("long shared story") and "Home" not in got[1]
     marked = [page(i, f"<article>{same}</article>") for i in (1, 2)]
     assert set(texts(html.extract(spark.createDataFrame(marked, SCHEMA))).values()) == {"\n".join(html.content(same)[0])}
+
+
+def test_runs_of_copies_and_pages_of_mostly_template(spark, monkeypatch):
+    story = "".join(f"<p>story {k}</p>" for k in range(20))
+    copies = [page(f"{i:03}", story)[1:] for i in range(40)] + [page("900", "<p>other</p>")[1:]]
+    near = [page(f"{i:03}", f"{story}<p>version {i}</p>", "near.com")[1:] for i in range(40)] + [page(f"9{i:02}", f"<p>text {i}</p>", "near.com")[1:] for i in range(60)]
+    menu = "".join(f"<div>menu {k}</div>" for k in range(5))
+    most = [page(f"{i:03}", f"{menu}<p>own {i}</p><p>more {i}</p>", "most.com")[1:] for i in range(6)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(copies + near + most)], SCHEMA)
+    one = texts(html.extract(df))
+    assert not any("Home" in t or "menu" in t or "Copyright" in t for t in one.values())
+    assert all(t.startswith("story 0\nstory 1\n") for i, t in one.items() if i < 40 or 41 <= i < 81) and one[len(df.collect()) - 1] == "own 5\nmore 5"
+    monkeypatch.setattr(html, "PARTITION_ROWS", 30)
+    monkeypatch.setattr(html, "BROADCAST_PAGES", 0)
+    assert texts(html.extract(df)) == one
