@@ -5,8 +5,8 @@ page that isn't a copy of it. The two pages' text lines are aligned by their lon
 that they share (menus, notices, footers of the site's template) are deleted, as are lines of the host's template:
 those on half of its distinct pages, where it has a few. Copies are judged by the lines outside the template. Elements
 that the markup itself names as no content (navigation, forms, scripts, adverts, comments ...) go first. Where a page
-marks its article, the article bounds the text and its own lines are never deleted: pages at near URLs may carry one
-article twice.
+marks its article, the article bounds the text and only the template's lines are deleted from it: pages at near URLs
+may carry one article twice, so one partner says nothing there.
 
 Only hashed lines move for the pairing: rows are range-partitioned by (host, path), so that a host with a third of
 all pages spreads over tasks, and a few rows at each border are handed to the neighbouring partition.
@@ -261,7 +261,7 @@ def _with_borders(batches):
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """uid and a bitmap of the lines that go, the template's and those shared with the partner, for rows that mark no article."""
+    """uid and a bitmap of the lines that go: the template's, and without a marked article those shared with the partner."""
     rows = rows.sort_by([("host", "ascending"), ("path", "ascending"), ("uid", "ascending")])
     uid, host, path = (rows[c].to_pylist() for c in ("uid", "host", "path"))
     hashes = [np.frombuffer(x, np.int64).tolist() for x in rows["hashes"].to_pylist()]
@@ -275,7 +275,7 @@ def _shared(rows: pa.Table) -> pa.Table:
         return -n, abs(i - j)
 
     for i, (marked, context) in enumerate(zip(rows["marked"].to_pylist(), rows["context"].to_pylist(), strict=True)):
-        if marked or context:
+        if context:
             continue
         usual = [x in templates[i] for x in hashes[i]]
         gone = usual

@@ -74,6 +74,13 @@ def test_copies_are_no_partners_and_articles_stay(spark):
     assert set(texts(html.extract(spark.createDataFrame(marked, SCHEMA))).values()) == {"\n".join(html.content(same)[0])}
 
 
+def test_template_lines_go_from_articles_and_stories_stay(spark):
+    story = "<p>a story told twice</p><p>to its end</p>"
+    rows = [page(i, f"<article><p>Subscribe to our letter</p>{story if i < 3 else f'<p>text {i}</p>'}<p>By line {i}</p></article>") for i in range(8)]
+    got = texts(html.extract(spark.createDataFrame(rows, SCHEMA)))
+    assert got == {i: ("a story told twice\nto its end" if i < 3 else f"text {i}") + f"\nBy line {i}" for i in range(8)}
+
+
 def test_runs_of_copies_and_pages_of_mostly_template(spark, monkeypatch):
     story = "".join(f"<p>story {k}</p>" for k in range(20))
     copies = [page(f"{i:03}", story)[1:] for i in range(40)] + [page("900", "<p>other</p>")[1:]]
