@@ -2,11 +2,13 @@
 
 Pages of a host with the same lines count as one. They are ordered by URL path, and each is paired with the nearest
 page that isn't a copy of it. The two pages' text lines are aligned by their longest common subsequence, and lines
-that they share (menus, notices, footers of the site's template) are deleted, as are lines of the host's template:
-those on half of its distinct pages, where it has a few. Copies are judged by the lines outside the template. Elements
-that the markup itself names as no content (navigation, forms, scripts, adverts, comments ...) go first. Where a page
-marks its article, the article bounds the text and only the template's lines are deleted from it: pages at near URLs
-may carry one article twice, so one partner says nothing there.
+that they share (menus, notices, footers of the site's template) are deleted. Elements that the markup itself names as
+no content (navigation, forms, scripts, adverts, comments ...) go first, whether their lines are shared or not.
+
+Where a page marks its article, the article bounds the text. Pages at near URLs may carry one passage twice, so a
+shared line of an article is only deleted if it stands on several of the host's distinct pages and on a fair share of
+them. Where none is marked, lines that stand on half of the host's distinct pages go too, also from pages that have
+none but copies around them.
 
 Only hashed lines move for the pairing: rows are range-partitioned by (host, path), so that a host with a third of
 all pages spreads over tasks, and a few rows at each border are handed to the neighbouring partition.
@@ -29,35 +31,57 @@ from .common import slices, stash, table
 
 #: Pages on each side in path order among which a partner is looked for.
 NEIGHBOURS = 8
-#: A page that shares at least so many of its lines outside the host's template is a copy and no partner.
+#: A page that shares at least so many of its lines is a copy and no partner. Where no article is marked, lines of the
+#: host's template don't count for that.
 COPY_SHARE = 0.8
 #: A line is the host's template if it stands on this share of the host's distinct pages and on so many of them (two
 #: pages may share a sentence), if the host has so many pages.
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LEAST = 3
 TEMPLATE_PAGES = 4
+#: A shared line inside an article goes if it stands on so many distinct pages of the host and on this share of them.
+ARTICLE_LEAST = 4
+ARTICLE_SHARE = 0.1
 #: Rows of a range partition.
 PARTITION_ROWS = 20_000
 #: Pages whose line masks are broadcast at most.
 BROADCAST_PAGES = 50_000
 
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|xmp|noembed|noframes"
+#: What a tag holds: quoted values, which may have ">" in them; a quote that isn't closed before a space or the tag's end is a plain character.
+_VALUES = r"(?:=\s*\"[^\"]*\"(?=[\s/>]|\Z)|=\s*'[^']*'(?=[\s/>]|\Z)|[^>])*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + _RAW + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + _RAW + r")\b" + _VALUES + r"(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>" + _VALUES + r")(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture "
+    "button select input audio video canvas map".split()
+)
 _MAIN = frozenset(("article", "main"))
 _DROPPED = frozenset("nav footer aside form button select dialog menu head input fieldset audio video canvas map".split())
-_PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"cookie|cookies|consent|gdpr|notice|popup|modal|overlay|comment|comments|commentlist|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|"
-    r"footer|site-header|masthead|topbar|toolbar|pagination|pager|widget|skip-link)(?:$|[\s_-]|\d)",
-    re.I,
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(r"(?:^|[\s_-])(?:" + "|".join(words.split()) + r")(?:$|[\s_-]|\d)", re.I)
+
+
+#: Names of classes, identifiers and roles that say no content by themselves.
+_PARTS = _names(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal comment comments "
+    "commentlist disqus respond related recommended teaser teasers newsletter subscribe footer site-header masthead topbar pagination skip-link"
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Names that say so outside an article; inside one the element must be short as well, as text may be in a box of that name.
+_MAYBE = _names("promo banner notice overlay share sharing social toolbar pager widget")
+#: Classes of articles that aren't the page's.
+_OTHER_ARTICLES = frozenset("comment reply teaser related recommended sponsored advert ad promo".split())
+#: Words outside links from which an element with such a name is text of the article.
+_TEXT_WORDS = 25
+#: Articles hold the page's text if they have this share of what the markup doesn't drop; fewer are teasers.
+_ARTICLE_TEXT = 0.25
+_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']?([^\s>]+))", re.I)
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert"))
 _SPACES = re.compile(r"\s+")
 
@@ -67,20 +91,49 @@ class Line(NamedTuple):
     main: bool
 
 
-def _no_content(name: str, attributes: str, in_main: bool) -> bool:
+def _no_content(name: str, attributes: str, in_main: bool) -> bool | None:
+    """Whether an element is dropped; None if its length decides."""
     if name in _DROPPED or (name == "header" and not in_main):
         return True
-    if not attributes or name in _MAIN or name in ("body", "html"):
+    if not attributes or name in ("main", "body", "html"):
         return False
-    return any(_PARTS.search(v) or v.lower() in _ROLES for m in _CLASS.finditer(attributes) for v in [m[1] or m[2] or m[3] or ""])
+    values = [m[1] or m[2] or m[3] or "" for m in _CLASS.finditer(attributes)]
+    if name == "article":
+        return any(w in _OTHER_ARTICLES for v in values for w in v.lower().split())
+    if any(_PARTS.search(v) or v.lower() in _ROLES for v in values):
+        return True
+    if any(_MAYBE.search(v) for v in values):
+        return None if in_main else True
+    return False
+
+
+def _closed(tokens: list[re.Match]) -> set[int]:
+    """Places of the opening tags whose element is closed."""
+    open_: dict[str, list[int]] = {}
+    out = set()
+    for at, m in enumerate(tokens):
+        if m["name"]:
+            name = m["name"].lower()
+            if not m["close"]:
+                open_.setdefault(name, []).append(at)
+            elif open_.get(name):
+                out.add(open_[name].pop())
+    return out
 
 
 def lines_of(page: str) -> list[Line]:
-    """Text lines of a page's content elements, one for each block, and whether each lies in the page's article."""
+    """Text lines of a page's content elements, one for each block, and whether each lies in the page's article.
+
+    An element that is dropped takes everything to its end along, articles too; one that is never closed ends where
+    an article begins.
+    """
     out: list[Line] = []
     parts: list[str] = []
     main: list[str] = []
     skipped: list[str] = []
+    ends = True  # whether what is skipped is closed
+    doubtful: list[list] = []  # elements whose length decides: name, depth, lines and parts before, words
+    linked = 0
 
     def flush() -> None:
         if parts:
@@ -89,10 +142,14 @@ def lines_of(page: str) -> list[Line]:
                 out.append(Line(text, bool(main)))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    closed = _closed(tokens)
+    for at, m in enumerate(tokens):
         if (text := m["text"]) is not None:
             if not skipped:
                 parts.append(text)
+                if doubtful and not linked:
+                    doubtful[-1][4] += len(text.split())
             continue
         name = (m["name"] or "").lower()
         if not name:
@@ -100,36 +157,60 @@ def lines_of(page: str) -> list[Line]:
         if m["close"]:
             if skipped:
                 if name in skipped:
-                    while skipped.pop() != name:
-                        pass
-                    if name not in _INLINE:
+                    skipped.pop()
+                    if not skipped and name not in _INLINE:
                         flush()
-                elif name in main:
-                    skipped.clear()
-                else:
                     continue
+                if name not in main or ends:
+                    continue
+                skipped.clear()
+            if name == "a":
+                linked = max(0, linked - 1)
+            if doubtful and name == doubtful[-1][0]:
+                doubtful[-1][1] -= 1
+                if not doubtful[-1][1]:
+                    _, _, lines, pieces, words = doubtful.pop()
+                    if words < _TEXT_WORDS and (not pieces or len(out) == lines):
+                        del parts[pieces:], out[lines:]
+                    elif doubtful:
+                        doubtful[-1][4] += words
             if name in main:
                 flush()
                 while main.pop() != name:
                     pass
-            elif name not in _INLINE and not skipped:
+            elif name not in _INLINE:
                 flush()
-        elif name in _MAIN and not (skipped and main):
-            flush()
-            skipped.clear()
-            main.append(name)
-        elif skipped:
-            if name == skipped[-1] and name not in _VOID:
-                skipped.append(name)
-        elif name == "br":
+            continue
+        if skipped:
+            if name in _MAIN and not ends:
+                flush()
+                skipped.clear()
+            else:
+                if name == skipped[-1] and name not in _VOID:
+                    skipped.append(name)
+                continue
+        if name == "br":
             parts.append(" ")
-        elif _no_content(name, m["attributes"], bool(main)):
+            continue
+        drop = _no_content(name, m["attributes"], bool(main))
+        empty = name in _VOID or m["attributes"].endswith("/")
+        if drop:
             if name not in _INLINE:
                 flush()
-            if name not in _VOID and not m["attributes"].endswith("/"):
+            if not empty:
                 skipped.append(name)
-        elif name not in _INLINE:
+                ends = at in closed
+            continue
+        if name not in _INLINE:
             flush()
+        if name == "a" and not empty:
+            linked += 1
+        if doubtful and name == doubtful[-1][0]:
+            doubtful[-1][1] += 1
+        elif drop is None and not empty and at in closed:
+            doubtful.append([name, 1, len(out), len(parts), 0])
+        if name in _MAIN:
+            main.append(name)
     flush()
     return out
 
@@ -137,7 +218,8 @@ def lines_of(page: str) -> list[Line]:
 def content(page: str) -> tuple[list[str], bool]:
     """The lines that may be main text, and whether the page marks its article."""
     lines = lines_of(page)
-    marked = any(x.main for x in lines)
+    held = sum(len(x.text) for x in lines if x.main)
+    marked = held > 0 and held >= _ARTICLE_TEXT * sum(len(x.text) for x in lines)
     return [x.text for x in lines if x.main or not marked], marked
 
 
@@ -220,8 +302,11 @@ def _lines(pages: DataFrame) -> DataFrame:
     return lines.groupBy("uid").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("marked").alias("marked"), F.first("hashes").alias("hashes"))
 
 
-def _templates(lines: DataFrame) -> DataFrame:
-    """host and template: the hashed lines that stand on many of a host's distinct pages."""
+def _frequent(lines: DataFrame) -> DataFrame:
+    """host, frequent and template: hashed lines that stand on ARTICLE_SHARE, and on TEMPLATE_SHARE, of a host's distinct pages.
+
+    A host with an average of n lines a page has at most n / ARTICLE_SHARE frequent lines, however many pages.
+    """
 
     def run(batches):
         for batch in batches:
@@ -234,9 +319,11 @@ def _templates(lines: DataFrame) -> DataFrame:
 
     counts = lines.select("host", "hashes").mapInArrow(run, "host string, line long").groupBy("host", "line").count()
     counts = stash(counts.where(f"count >= {TEMPLATE_LEAST}"))
-    pages = counts.where(f"line is null and count >= {TEMPLATE_PAGES}").select("host", F.col("count").alias("pages"))
-    usual = counts.where("line is not null").join(pages, "host").where(F.col("count") >= TEMPLATE_SHARE * F.col("pages"))
-    return usual.groupBy("host").agg(F.collect_list("line").alias("template"))
+    pages = counts.where("line is null").select("host", F.col("count").alias("pages"))
+    usual = counts.where("line is not null").join(pages, "host").where(F.col("count") >= ARTICLE_SHARE * F.col("pages"))
+    often = F.when(F.col("count") >= ARTICLE_LEAST, F.col("line"))
+    half = (F.col("count") >= TEMPLATE_SHARE * F.col("pages")) & (F.col("pages") >= TEMPLATE_PAGES)
+    return usual.groupBy("host").agg(F.collect_list(often).alias("frequent"), F.collect_list(F.when(half, F.col("line"))).alias("template"))
 
 
 def _with_borders(batches):
@@ -261,11 +348,11 @@ def _with_borders(batches):
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """uid and a bitmap of the lines that go: the template's, and without a marked article those shared with the partner."""
+    """uid and a bitmap of the lines that go, of every page that has such lines."""
     rows = rows.sort_by([("host", "ascending"), ("path", "ascending"), ("uid", "ascending")])
     uid, host, path = (rows[c].to_pylist() for c in ("uid", "host", "path"))
     hashes = [np.frombuffer(x, np.int64).tolist() for x in rows["hashes"].to_pylist()]
-    templates = [frozenset(x or ()) for x in rows["template"].to_pylist()]
+    frequent, templates = ([frozenset(x or ()) for x in rows[c].to_pylist()] for c in ("frequent", "template"))
     out = {}
 
     def closeness(i: int, j: int) -> tuple[int, int]:
@@ -277,13 +364,13 @@ def _shared(rows: pa.Table) -> pa.Table:
     for i, (marked, context) in enumerate(zip(rows["marked"].to_pylist(), rows["context"].to_pylist(), strict=True)):
         if context:
             continue
-        usual = [x in templates[i] for x in hashes[i]]
+        usual = [not marked and x in templates[i] for x in hashes[i]]
         gone = usual
-        near = [] if marked else [j for j in range(max(0, i - NEIGHBOURS), min(len(uid), i + NEIGHBOURS + 1)) if j != i and host[j] == host[i]]
+        near = [j for j in range(max(0, i - NEIGHBOURS), min(len(uid), i + NEIGHBOURS + 1)) if j != i and host[j] == host[i]]
         for j in sorted(near, key=lambda j: (*closeness(i, j), j)):
             flags = common_lines(hashes[i], hashes[j])
             if sum(f and not u for f, u in zip(flags, usual, strict=True)) < COPY_SHARE * (len(usual) - sum(usual)) or all(usual):
-                gone = [f or u for f, u in zip(flags, usual, strict=True)]
+                gone = [u or (f and (not marked or x in frequent[i])) for x, f, u in zip(hashes[i], flags, usual, strict=True)]
                 break
         if any(gone):
             out[uid[i]] = np.packbits(np.array(gone)).tobytes()
@@ -291,12 +378,12 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """uid and bits: the content lines of a page that belong to its host's template or that the nearest page shares."""
+    """uid and bits: the content lines of a page that it shares with the nearest page, or that are its host's template."""
     lines = stash(_lines(pages.select("url", "html")))
     parts = max(1, -(-lines.count() // PARTITION_ROWS))
-    lines = lines.join(_templates(lines), "host", "left").select("uid", "host", "path", "marked", "hashes", "template")
+    lines = lines.join(_frequent(lines), "host", "left").select("uid", "host", "path", "marked", "hashes", "frequent", "template")
     ranged = lines.repartitionByRange(parts, "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
-    bordered = ranged.mapInArrow(_with_borders, "uid long, host string, path string, marked boolean, hashes binary, template array<long>, part int, context boolean")
+    bordered = ranged.mapInArrow(_with_borders, "uid long, host string, path string, marked boolean, hashes binary, frequent array<long>, template array<long>, part int, context boolean")
     return bordered.groupBy("part").applyInArrow(_shared, "uid long, bits binary")
 
 
@@ -304,7 +391,8 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url, text and n_chars of every row of ``pages`` (key, url, html).
 
     Null and empty HTML, and pages without text, give an empty text. Pages without a usable URL are a host of their
-    own. Character references are decoded, white space inside a block (a line break too) becomes one space, blocks are
+    own. Of partners whose paths agree for equally many characters, the one closer in path order counts, of two as
+    close the earlier one; pages at one path are ordered by their lines' hash. An empty table gives an empty result. Character references are decoded, white space inside a block (a line break too) becomes one space, blocks are
     joined by line ends; nothing is cut. Equal pages give equal texts, in any number; other columns are left aside.
     """
     kind = pages.schema[key].dataType.simpleString()

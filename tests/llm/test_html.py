@@ -1,3 +1,4 @@
+import os
 import random
 
 from gridloom.llm import html
@@ -94,3 +95,100 @@ def test_runs_of_copies_and_pages_of_mostly_template(spark, monkeypatch):
     monkeypatch.setattr(html, "PARTITION_ROWS", 30)
     monkeypatch.setattr(html, "BROADCAST_PAGES", 0)
     assert texts(html.extract(df)) == one
+
+
+def test_other_articles_and_named_boxes():
+    one = lambda page: html.content(page)[0]
+    assert one('<article><p>Story</p></article><div id="comments"><article class="comment"><p>Reader says</p></article></div>') == ["Story"]
+    assert one('<article><p>Story</p><div id="comments"><article><p>Reader says</p></article></div><p>end</p></article>') == ["Story", "end"]
+    assert one('<article><p>Story</p><article class="comment">one<article class="comment">two</article></article><p>end</p></article>') == ["Story", "end"]
+    assert one('<aside class="related"><article>Teaser</article></aside><div><p>Real content</p></div>') == ["Real content"]
+    assert "The story, which is longer" in one("<div><p>The story, which is longer</p><p>than what the one article of the page says, a teaser</p></div><article>Teaser</article>")
+    body = "a sentence of the body " * 6
+    assert one(f'<article><p>Body</p><div class="widget"><p>{body}</p></div><div class="notice">Short</div><p>end <span class="share">Share</span>of it</p></article>') == ["Body", body.strip(), "end of it"]
+    assert one('<article class="post comments-open"><p>Story</p><p>a <button>Click</button>b</p></article>') == ["Story", "a b"]
+
+
+def test_quotes_that_never_close():
+    assert html.content('<p class="x>hello</p>')[0] == ["hello"]
+    assert html.content('<p class="x>hello</p><p id="y">z</p>')[0] == ["hello", "z"]
+    assert html.content("<p title=it's>don't</p>the dogs' x")[0] == ["don't", "the dogs' x"]
+
+
+def flags_by_table(a, b):
+    """Entries of ``a`` on a longest common subsequence with ``b``, by the full table."""
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if size[i][j] == size[i - 1][j]:
+            i -= 1
+        elif size[i][j] == size[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.add(a[i])
+    return out
+
+
+def brute(rows):
+    """Texts of pages (id, host, path, marked, lines) whose lines are all different."""
+    out = {}
+    for i, host, path, marked, lines in rows:
+        own = list({(m, tuple(x)): (p, m, tuple(x)) for _, h, p, m, x in sorted(rows, key=lambda r: r[2], reverse=True) if h == host}.values())
+        count = {x: sum(x in ls for _, _, ls in own) for x in lines}
+        half = set() if marked else {x for x in lines if len(own) >= 4 and count[x] >= 3 and 2 * count[x] >= len(own)}
+        often = {x for x in lines if count[x] >= 4 and 10 * count[x] >= len(own)}
+        own.sort(key=lambda r: r[0])
+        at = [k for k, r in enumerate(own) if r[1:] == (marked, tuple(lines))][0]
+        path = own[at][0]
+        near = [k for k in range(len(own)) if k != at and abs(k - at) <= 8]
+        near.sort(key=lambda k: (-len(os.path.commonprefix([path, own[k][0]])), abs(k - at), k))
+        gone = set(half)
+        for k in near:
+            shared = flags_by_table(lines, own[k][2])
+            if len(shared - half) < 0.8 * len(set(lines) - half) or not set(lines) - half:
+                gone |= shared & often if marked else shared
+                break
+        out[i] = "\n".join(x for x in lines if x not in gone)
+    return out
+
+
+def test_equals_brute_force(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    for i in range(240):
+        host, marked = r.choice(("big.com", "big.com", "small.com", f"h{i % 30}.com")), r.random() < 0.5
+        if rows and r.random() < 0.15:
+            _, host, _, marked, lines = r.choice(rows)
+            lines = [x for x in lines if r.random() < 0.97] or lines
+        else:
+            notes = [f"note {k} of {host}" for k in range(4) if r.random() < 0.2 * (k + 1)]
+            lines = [f"menu {k}" for k in range(3) if r.random() < 0.9] + [f"own {i} {k}" for k in range(r.randint(1, 5))] + [f"told {i // 9}"] * (r.random() < 0.4) + notes
+        rows.append((i, host, f"/{r.choice('abc')}/{r.randint(10, 99)}/{i}", marked, lines))
+    page = lambda marked, lines: ("<article>" if marked else "<div>") + "".join(f"<p>{x}</p>" for x in lines) + ("</article>" if marked else "</div>")
+    df = spark.createDataFrame([(i, f"https://{h}{p}", page(m, x)) for i, h, p, m, x in rows], SCHEMA)
+    want = brute(rows)
+    assert texts(html.extract(df)) == want
+    changed = [m for i, _, _, m, x in rows if want[i] != "\n".join(x)]
+    assert changed.count(True) > 20 and changed.count(False) > 50
+    monkeypatch.setattr(html, "PARTITION_ROWS", 25)
+    monkeypatch.setattr(html, "BROADCAST_PAGES", 0)
+    assert texts(html.extract(df)) == want
+
+
+def test_near_copies_of_a_story_are_most_of_a_host(spark):
+    story = "".join(f"<p>story {k}</p>" for k in range(12))
+    rows = [page(i, f"<article>{story}<p>version {i}</p></article>") for i in range(12)] + [page(f"9{i}", f"<article><p>text {i}</p></article>") for i in range(8)]
+    got = texts(html.extract(spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(rows)], SCHEMA)))
+    assert all(t.startswith("story 0\nstory 1\n") for i, t in got.items() if i < 12)
+
+
+def test_awkward_pages(spark):
+    long = "<article>" + "".join(f"<p>line {k} of a very long page</p>" for k in range(60_000)) + "</article>"
+    rows = [(1, "http://h.com/1", long, "a", 1, True), (None, None, None, None, None, None), (None, None, None, None, None, None), (2, "", "", "x", 2, False), (3, "not a url", "<p>t</p>", "y", 3, True), (1, "http://h.com/1", long, "b", 1, True)]
+    df = spark.createDataFrame(rows, SCHEMA + ", text string, uid long, marked boolean")
+    got = sorted(((r.page_id or 0), r.n_chars, r.text[:6]) for r in html.extract(df).collect())
+    size = len("\n".join(f"line {k} of a very long page" for k in range(60_000)))
+    assert got == [(0, 0, ""), (0, 0, ""), (1, size, "line 0"), (1, size, "line 0"), (2, 0, ""), (3, 1, "t")]
