@@ -26,8 +26,9 @@ LOWER[0x41:0x5B] += 32
 #: Bytes of text handled at once inside a task; a longer document is a chunk of its own.
 CHUNK = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
+#: Base of hashes that are independent of the usual ones.
+OTHER_BASE = 0xD6E8FEB86659FD93
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,21 +42,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least ``n`` of each."""
-    global _powers, _inverse_powers
-    if len(_powers) < n:
-        size = max(n, CHUNK + 1)
-        steps = np.full(size, _BASE)
+def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a hash base and of its inverse modulo 2**64, at least ``n`` of each."""
+    if base not in _powers or len(_powers[base][0]) < n:
+        steps = np.full(max(n, CHUNK + 1), np.uint64(base))
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-        steps[1:] = _BASE_INVERSE
-        _inverse_powers = np.multiply.accumulate(steps)
-    return _powers[:n], _inverse_powers[:n]
+        up = np.multiply.accumulate(steps)
+        steps[1:] = np.uint64(pow(base, -1, 1 << 64))
+        _powers[base] = up, np.multiply.accumulate(steps)
+    up, down = _powers[base]
+    return up[:n], down[:n]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -100,21 +99,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A 64-bit polynomial hash of each word, mixed."""
-    up, down = powers(len(data) + 1)
+    up, down = powers(len(data) + 1, base)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * down[starts])
 
 
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, length: int, base: int = _BASE) -> np.ndarray:
     """Rabin-Karp hash of every ``length`` consecutive entries, in order."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = words[:n].copy()
     for k in range(1, length):
-        out *= _BASE
+        out *= np.uint64(base)
         out += words[k : k + n]
     return mix64(out)

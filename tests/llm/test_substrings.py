@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from gridloom.llm import substrings
 
 
@@ -34,11 +36,49 @@ def corpus():
 def test_equals_brute_force(documents):
     texts = corpus()
     want = brute(texts)
-    for groups in (None, 1, 1000):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(documents(texts), groups=groups).collect()}
+    for buckets, groups in ((None, None), (1, 1), (7, 1000), (300, 3)):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicate(documents(texts), buckets=buckets, groups=groups).collect()}
         assert got == want
 
 
+def test_colliding_hashes_are_told_apart():
+    """Hashes of a few bits send nearly every window to the second step; windows of other words still stay."""
+    texts = sorted(corpus(), key=lambda t: t[0])
+    want = brute(texts)
+    first = substrings._first_hashes
+    for bits in (64, 60, 16):  # the lowest ones go
+        try:
+            substrings._first_hashes = lambda words, window, bits=bits: first(words, window) >> np.uint64(bits - 1) << np.uint64(bits - 1)
+            assert local(texts, 5, 4) == want
+        finally:
+            substrings._first_hashes = first
+
+
+def local(texts, buckets, groups, window=20):
+    """The operator's steps without Spark, whose workers don't see what a test replaces."""
+    import pyarrow as pa
+
+    dealt = [pa.table({"bucket": pa.array([k] * len(part), pa.int32()), "key": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string())}) for k, part in enumerate(np.array_split(np.array(texts, object), buckets))]
+
+    def counted(step, posted):
+        rows = pa.concat_tables(posted)
+        return pa.concat_tables([substrings._counter(step)(rows.filter(pa.compute.equal(rows["grp"], g))) for g in set(rows["grp"].to_pylist())])
+
+    of = lambda rows, k: rows.filter(pa.compute.equal(rows["bucket"], k))
+    shared = counted(1, [substrings._poster(window, groups)(t) for t in dealt])
+    earlier = counted(2, [substrings._reposter(window, groups)(t, of(shared, k)) for k, t in enumerate(dealt)])
+    out = {}
+    for k, t in enumerate(dealt):
+        own, at = substrings._bucket(t, window), 0
+        later = substrings._later(own, of(earlier, k), groups)
+        for key, n, (starts, ends), raw in zip(own.keys, own.sizes.tolist(), own.words, own.texts, strict=True):
+            gone = substrings.covered(len(starts), np.flatnonzero(later[at : at + n]), window)
+            at += n
+            kept = b" ".join(raw.tobytes()[a:b] for a, b, g in zip(starts, ends, gone, strict=True) if not g)
+            out[key] = (len(starts), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
 def test_intervals_and_text(documents):
     passage = " ".join(f"w{k}" for k in range(25))
     rows = {r.doc_id: r for r in substrings.deduplicate(documents([(1, passage), (2, "a " + passage + " b")]), keep_text=True).collect()}
