@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +12,25 @@ from .graph import keep_anchored, nearest_fill
 from . import graph
 
 
-def grow(coarse: DataFrame, dem: DataFrame, scale: int, height: int, width: int, coarse_limit: int = 10, decay: float = 0.001, pixel: float = 1.0, cost_limit: float = 40.0) -> DataFrame:
+def grow(coarse: DataFrame, dem: DataFrame, scale: int, height: int, width: int, coarse_limit: float | None = 10, decay: float = 0.001, pixel: float = 1.0) -> DataFrame:
     """r, c, wse, depth and phase (anchor or grown) of the wet cells of the fine grid.
 
     ``coarse`` has r, c, wse (null: dry), ``dem`` has r, c, z (null: no ground). 1. The surface is resampled to the
     fine grid and kept where it lies above the ground (anchors). 2. Elsewhere it grows from the anchor that is cheapest
-    to reach over the terrain, falling by ``decay`` for each unit of distance, up to ``coarse_limit`` coarse cells.
-    3. Components without an anchor are dropped. Paths dearer than ``cost_limit`` are not followed.
+    to reach over the terrain, falling by ``decay`` for each unit of distance to the nearest anchor, within
+    ``coarse_limit`` coarse cells of one (None: however far). Paths may be as dear as they come. 3. Components without
+    an anchor are dropped. Ground without any surface to fill from costs as if the surface lay on it. Empty tables
+    give an empty result; cells must be distinct; other columns are left aside.
     """
-    limit = coarse_limit * scale
+    limit = None if coarse_limit is None else coarse_limit * scale
     surface = resample_bilinear(coarse, "wse", scale, height, width)
     cells = dem.select("r", "c", "z").join(surface, ["r", "c"], "left")
     cells = stash(cells.select("r", "c", "z", wet_partial(F.col("wse"), F.col("z")).alias("anchor")))
-    near = nearest_fill(cells.select("r", "c", "anchor"), "anchor", math.ceil(limit)).select("r", "c", F.col("distance").alias("steps"))
-    filled = nearest_fill(coarse.select("r", "c", "wse"), "wse", coarse_limit)
+    near = nearest_fill(cells.select("r", "c", "anchor"), "anchor", limit).select("r", "c", F.col("distance").alias("steps"))
+    filled = nearest_fill(coarse.select("r", "c", "wse"), "wse")
     smooth = resample_bilinear(filled, "wse", scale, height, width).withColumnRenamed("wse", "smooth")
     priced = cells.join(smooth, ["r", "c"], "left").withColumn("cost", terrain_cost(F.coalesce("smooth", "z"), F.col("z")))
-    reached = graph.allocate(priced, "cost", "anchor", cost_limit).select("r", "c", F.col("value").alias("source"))
+    reached = graph.allocate(priced, "cost", "anchor").select("r", "c", F.col("value").alias("source"))
     joined = cells.join(near, ["r", "c"], "left").join(reached, ["r", "c"], "left")
     grown = grown_surface(F.col("source"), F.col("steps") * pixel, decay)
     wse = merge_growth(F.col("anchor"), grown, F.col("steps"), F.col("z"), limit)

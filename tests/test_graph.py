@@ -103,3 +103,40 @@ def test_growth(spark):
     assert out[5, 10].phase == "grown" and 4 < out[5, 10].depth < 5
     assert (5, 12) not in out and not any(c > 12 for _, c in out)
     assert growth.anchors_by_scale(dem, coarse, 2).where(F.col("anchor").isNotNull()).count() == 12 * 6
+
+
+@pytest.mark.parametrize("tile", [16])
+def test_paths_of_any_length_over_many_tiles(spark, tile):
+    """A winding corridor, walls, uneven costs and ties: no bound, and borders are exchanged until nothing changes."""
+    g = np.random.default_rng(5)
+    cost = np.round(1 + g.random((40, 22)) * 2, 1)
+    cost[g.random(cost.shape) < 0.25] = math.nan
+    for c in range(1, 22, 2):
+        cost[:, c] = math.nan
+        cost[0 if c % 4 == 1 else 39, c] = 1.0
+    seeds = {(20, 0), (3, 0)}
+    for s in seeds:
+        cost[s] = 1.0
+    cost[:, ::2] = np.where(np.isnan(cost[:, ::2]), 9.0, cost[:, ::2])
+    got = {(r.r, r.c): (r.distance, (r.src_r, r.src_c)) for r in graph.allocate(frame(spark, cost, seeds), "cost", "seed", tile=tile).collect()}
+    want = dijkstra(cost, seeds)
+    assert got == want and max(d for d, _ in got.values()) > 300
+
+
+def test_odd_cells(spark):
+    rows = [(0, 0, 1.0, 5.0, "x"), (0, 1, 1.0, None, "x"), (0, 1, 4.0, None, "y"), (0, 2, -1.0, None, "x"), (0, 3, math.nan, 2.0, "x"), (None, 1, 1.0, 1.0, None), (1, None, 1.0, 1.0, None), (-1, -1, 1.0, None, "z"), (0, 0, 2.0, 7.0, "again")]
+    df = spark.createDataFrame(rows, "r long, c long, cost double, seed double, distance string")
+    got = sorted((r.r, r.c, r.distance, r.value) for r in graph.allocate(df, "cost", "seed").collect())
+    assert got == [(-1, -1, pytest.approx(math.sqrt(2)), 5.0), (0, 0, 0.0, 5.0), (0, 1, 1.0, 5.0)]
+    assert graph.allocate(df.limit(0), "cost", "seed").count() == 0 and graph.label_components(df).count() == 5
+    assert graph.nearest_fill(df.where("seed is null"), "seed").count() == 0
+
+
+def test_flat_ground_floods_to_the_chessboard_limit(spark):
+    """Ten coarse cells at scale 8: only the distance limits the growth, as dear as the way may be."""
+    coarse = spark.createDataFrame([(r, c, 5.0 if c == 0 else None) for r in range(4) for c in range(14)], "r long, c long, wse double")
+    dem = spark.createDataFrame([(r, c, 4.0) for r in range(32) for c in range(112)], "r long, c long, z double")
+    out = growth.grow(coarse, dem, 8, 4, 14, decay=0.0)
+    anchors = out.where("phase = 'anchor'").agg(F.max("c")).first()[0]
+    assert out.agg(F.max("c")).first()[0] == anchors + 79 and out.count() == 32 * (anchors + 80)
+    assert growth.grow(coarse, dem, 8, 4, 14, coarse_limit=None, decay=0.0).count() == 32 * 112

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from gridloom.plans import catalogue
+from gridloom.plans import catalogue, growths
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,6 +33,12 @@ def test_oracle(spark, duck, name):
     assert normal(got.select(*columns).collect()) == normal(want.fetchall())
 
 
+def test_growth_equals_sql(spark, duck):
+    want = duck.execute(growths.COSTGROW_SQL)
+    got = growths.costgrow(spark, SF).select(*(d[0] for d in want.description)).collect()
+    assert normal(got) == normal(want.fetchall()) and len(got) > 100
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(catalogue.QUERIES) >= 60
