@@ -28,6 +28,8 @@ SMOOTHING = 0.1
 SAMPLE_PER_LANGUAGE = 3000
 #: The matrix has at most BUCKETS x MAX_LANGUAGES numbers.
 MAX_LANGUAGES = 500
+#: Buckets whose counts come to the driver in one row.
+BLOCK = 4096
 #: Characters scored at once.
 CHARACTERS = 1 << 20
 
@@ -57,10 +59,13 @@ def _groups(texts: list[str], limit: int = CHARACTERS):
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Each text's first place, its number of letters, and for each order the bucket of the n-gram at each place."""
+    """Each text's first place, its number of letters, and for each order the bucket of the n-gram at each place.
+
+    At a text's last places n-grams would reach into the next one: of the order n, ``n`` - 1 of them don't count.
+    """
     lengths = np.array([len(t) + 2 for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    codes = np.frombuffer("".join(t + "  " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer("".join([*(t + "  " for t in texts), " "]).encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = _folded()[codes]
     letters = np.add.reduceat((codes != 32).astype(np.int64), starts[:-1]) if len(texts) else np.zeros(0, np.int64)
     buckets = []
@@ -106,17 +111,19 @@ def fit(labelled: DataFrame, text: Column, label: Column, draw: Column, sample:
                 starts, _, orders = _grams(texts[i:j])
                 for k in range(i, j):
                     total = counts.setdefault(labels[k], np.zeros(BUCKETS, np.int64))
-                    for b in orders:
-                        total += np.bincount(b[starts[k - i] : starts[k - i + 1]], minlength=BUCKETS)
+                    for n, b in zip(ORDERS, orders, strict=True):
+                        total += np.bincount(b[starts[k - i] : starts[k - i + 1] - n + 1], minlength=BUCKETS)
         for name, total in counts.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["label", "bucket", "n"])
 
     drawn = rows.where(F.col("draw") < below[F.col("label")]).select("label", "text")
-    counted = drawn.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = drawn.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    blocks = counted.groupBy("label", F.expr(f"bucket div {BLOCK}").alias("block")).agg(F.collect_list(F.struct("bucket", "n")).alias("x")).select("label", "x.bucket", "x.n")
     number = {k: i for i, k in enumerate(languages)}
     counts = np.full((len(languages), BUCKETS), SMOOTHING)
-    counts[counted["label"].map(number).to_numpy(int), counted["bucket"].to_numpy(int)] += counted["n"].to_numpy(float)
+    for block in blocks.toLocalIterator():
+        counts[number[block["label"]], block["bucket"]] += block["n"]
     prior = np.array([sizes[k] for k in languages], float)
     return Model(languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
 
@@ -131,8 +138,9 @@ def _best(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         total = np.tile(model.prior, (j - i, 1))
         for c in range(len(model.languages)):
             of_gram = model.log_probability[c]
-            for b in orders:
-                total[:, c] += np.add.reduceat(of_gram[b], starts[:-1], dtype=np.float64)
+            for n, b in zip(ORDERS, orders, strict=True):
+                cuts = np.stack([starts[:-1], starts[1:] - n + 1], 1).ravel()
+                total[:, c] += np.add.reduceat(of_gram[b], cuts, dtype=np.float64)[::2]
         best[i:j] = np.where(letters > 0, total.argmax(1), -1)
         sure[i:j] = np.where(letters > 0, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1), 0.0)
     return best, np.round(sure, 6)
