@@ -78,7 +78,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(short), 8192):
-        low = np.minimum(low, (short[None, at : at + 8192] * _FACTORS[:, None] + _SHIFTS[:, None]).min(1))
+        mixed = short[None, at : at + 8192] * _FACTORS[:, None] + _SHIFTS[:, None]
+        mixed ^= mixed >> np.uint32(15)  # linear maps alone order few shingles too regularly
+        mixed *= np.uint32(0x2C1B3C6D)
+        low = np.minimum(low, (mixed ^ mixed >> np.uint32(12)).min(1))
     return low
 
 

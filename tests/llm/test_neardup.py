@@ -85,3 +85,18 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 150: 150, 199: 150, 200: 150}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("common", "each"), [(17, 3), (85, 15), (170, 30)])
+def test_pairs_at_the_threshold_are_candidates(common, each):
+    """12,000 pairs of sets with a similarity of exactly 85 %, for each of three sizes; one miss at most is likely."""
+    import numpy as np
+
+    g, m = np.random.default_rng(common), neardup.match_threshold(85)
+    missed = 0
+    for _ in range(12_000):
+        shingles_ = g.integers(0, 1 << 63, common + each, dtype=np.uint64)
+        a = np.concatenate([shingles_[:common], shingles_[common : common + each // 2]])
+        b = np.concatenate([shingles_[:common], shingles_[common + each // 2 :]])
+        missed += (neardup.signature(a) == neardup.signature(b)).sum() < m
+    assert missed <= 2
