@@ -175,10 +175,10 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Personal data of every row: key, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """Personal data of every row: key, n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_other, the spans of other kinds.
 
     Whole texts are read; null and empty ones have no spans (the digest of the empty string). Repeated rows give
-    equal rows; the other columns of ``docs`` are left aside.
+    equal rows; the other columns of ``docs`` are left aside. An empty table gives an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -188,12 +188,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for t in batch.column(1).to_pylist():
                 spans = find(t) if t else []
                 base = ",".join(f"{k}:{s}:{e}" for k, s, e in spans if k in BASE_KINDS)
-                rows.append((*(sum(s[0] == k for s in spans) for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for k, s, e in spans)))
+                rows.append((*(sum(s[0] == k for s in spans) for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for k, s, e in spans), sum(s[0] not in BASE_KINDS for s in spans)))
             if rows:
-                types = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_other"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(run, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long").withColumnRenamed("key", key)
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
