@@ -1,4 +1,9 @@
 import random
+import re
+
+import test_decontamination
+import test_language
+import test_neardup
 
 import corpus_pipeline
 from gridloom.llm import decontamination, neardup, pii
@@ -39,3 +44,62 @@ def test_stages_and_run(spark, tmp_path):
 def test_the_ten_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert [name for name, _ in corpus_pipeline.STAGES] and decontamination and neardup and pii
+
+
+def brute_kept(rows, asked):
+    """The rows (id, text, lang, source, length) that four stages leave, each stage by its definition."""
+    found = test_language.brute([(i, t) for i, t, *_ in rows], {i: x for i, _, x, *_ in rows})
+    rows = [x for x, (lang, score) in zip(rows, found, strict=True) if lang != "und" and score >= 0.5]
+    kept = test_neardup.brute([(i, t) for i, t, *_ in rows], 80)
+    rows = [x for x in rows if kept[x[0]][2]]
+    rows = [x for x in rows if not any(test_decontamination.brute_leaks(x[1], item) for _, item in asked)]
+    redacted = [(i, re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", re.sub(r"\b[0-9]+(\.[0-9]+){3}\b", "[IP]", t)), g, s, n) for i, t, g, s, n in rows]
+    return [(i, t, g, s, n if t == was[1] else len(t)) for (i, t, g, s, n), was in zip(redacted, rows, strict=True)]
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    r = random.Random(21)
+    asked = test_decontamination.random_benchmark(r, 12)
+    rows = []
+    for i in range(160):
+        lang = r.choice(list(test_language.BASE))
+        words = [r.choice(test_language.BASE[lang].split()) + r.choice(("", "", "er", "ing", "x")) for _ in range(r.randint(1, 60))]
+        text = " ".join(words)
+        if i > 5 and r.random() < 0.3:
+            w = r.choice([x for x in rows if x[1]])[1].split()
+            w[r.randrange(len(w))] = "other"
+            text = " ".join(w) + r.choice(("", " end"))
+        if r.random() < 0.2:
+            text += ". " + test_decontamination.changed(r, r.choice(asked)[1])
+        if r.random() < 0.2:
+            text += r.choice((" write to a.b@mail.example.org now", " from 10.0.200.7 today", " 12 !!"))
+        rows.append((i, r.choice((text, text, text, text, text, "12 34", "")), lang, r.choice(("a", "b", "c", None)), len(text)))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = brute_kept(rows, asked)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+    assert sorted(map(tuple, now.collect())) == kept and 60 < len(kept) < 120 and sum("[" in x[1] for x in kept) >= 8
+    mixed = corpus_pipeline.mixing.mix_documents(spark.createDataFrame(kept, schema)).where("taken > 0")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, got.select(mixed.columns).collect())) == sorted(map(str, mixed.collect()))
+
+
+def test_odd_rows(spark, tmp_path, documents, awkward):
+    english = "the house and the tree with water over there and so on by the old river "
+    rows = documents([(5, english), (5, english), (5, english + "again"), (None, english), (None, english), (8, english * 3000), (9, None)], {5: "en", 8: "en"}, {5: "a", 8: "b"})
+    benchmark = spark.createDataFrame([(None, None), (1, ""), (2, "one two")], "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (rows, awkward, rows.limit(0)):
+        before = docs.collect()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == awkward.columns, name
+        left = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len(left) <= len(before) and (not before or docs.count() <= len(before))
+    out = rows
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, out, str(tmp_path))
+    assert sorted((x.doc_id or 0) for x in out.collect()) == [0, 0, 5, 8]
