@@ -66,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of the documents in the mixture."""
+    """doc_id, size, source_size, target and taken of the documents in the mixture.
+
+    Null and empty texts have no language and go in the first stage. Rows with a null id can't be named by the
+    stages that drop documents by their id: they stay until the mixture, which takes from them as from others. Of rows that repeat an
+    id one stays. Texts of any length are read whole; further columns of documents are carried to the mixture and end
+    there, whatever their names. An empty table gives an empty result; ties are settled by the operators.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
