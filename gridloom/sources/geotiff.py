@@ -93,9 +93,18 @@ def decode(data: bytes) -> tuple[np.ndarray, dict]:
         block = np.frombuffer(unpack(data[place : place + count]), dtype)
         block = block[: len(block) // tw * tw].reshape(-1, tw)[: height - y, : width - x]
         out[y : y + block.shape[0], x : x + block.shape[1]] = block
+    return out.astype(out.dtype.newbyteorder("=")), _placed(t)
+
+
+def _placed(t: dict) -> dict[str, float | None]:
     scale, tie = t.get(_SCALE, (1.0, 1.0, 0.0)), t.get(_TIEPOINT, (0.0,) * 6)
-    nodata = float(t[_NODATA]) if _NODATA in t else None
-    return out.astype(out.dtype.newbyteorder("=")), {"a": scale[0], "e": -scale[1], "c": tie[3] - tie[0] * scale[0], "f": tie[4] + tie[1] * scale[1], "nodata": nodata}
+    return {"a": scale[0], "e": -scale[1], "c": tie[3] - tie[0] * scale[0], "f": tie[4] + tie[1] * scale[1], "nodata": float(t[_NODATA]) if _NODATA in t else None}
+
+
+def header(data: bytes) -> dict[str, float | None]:
+    """height, width, a, e, c, f and nodata of a file, from its tags alone."""
+    t = _tags(data)[1]
+    return {"height": t[_HEIGHT][0], "width": t[_WIDTH][0], **_placed(t)}
 
 
 def encode(values: np.ndarray, a: float = 1.0, e: float = -1.0, c: float = 0.0, f: float = 0.0, nodata: float | None = None, compress: str = "deflate", rows: int = 256) -> bytes:
@@ -155,8 +164,7 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                values, g = decode(content)
-                rows.append({"raster_id": name, "height": values.shape[0], "width": values.shape[1], **g})
+                rows.append({"raster_id": name, **header(content)})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("raster_id", pa.string()), ("height", pa.int64()), ("width", pa.int64()), *((k, pa.float64()) for k in ("a", "e", "c", "f", "nodata"))]))
 
@@ -164,19 +172,20 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "raster_id string, height long, width long, a double, e double, c double, f double, nodata double")
 
 
-def encode_cells(cells: DataFrame, by: str, value: str, nodata: float = -9999.0) -> DataFrame:
+def encode_cells(cells: DataFrame, by: str, value: str, nodata: float = -9999.0, a: float = 1.0, e: float = -1.0, c: float = 0.0, f: float = 0.0) -> DataFrame:
     """One file (``by``, content) for each raster of cells (by, r, c, value); a raster is held whole by one task.
 
-    Cut larger scenes into tiles with their own id first. Nulls and absent cells are ``nodata``.
+    Cut larger scenes into tiles with their own id first. Nulls and absent cells are ``nodata``. A cell is ``a`` wide
+    and -``e`` high, and the upper left corner of all rasters lies at (``c``, ``f``).
     """
     kind = cells.schema[by].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        r, c = table["r"].to_numpy(), table["c"].to_numpy()
-        grid = np.full((int(r.max()) + 1, int(c.max()) + 1), nodata)
+        rows, columns = table["r"].to_numpy(), table["c"].to_numpy()
+        grid = np.full((int(rows.max()) + 1, int(columns.max()) + 1), nodata)
         v = table["value"].to_numpy().astype(float)
-        grid[r, c] = np.where(np.isnan(v), nodata, v)
-        return pa.table({by: table[by].slice(0, 1), "content": pa.array([encode(grid, nodata=nodata)], pa.binary())})
+        grid[rows, columns] = np.where(np.isnan(v), nodata, v)
+        return pa.table({by: table[by].slice(0, 1), "content": pa.array([encode(grid, a, e, c, f, nodata)], pa.binary())})
 
     shaped = cells.select(by, F.col("r").cast("long"), F.col("c").cast("long"), F.col(value).cast("double").alias("value"))
     return shaped.groupBy(by).applyInArrow(run, f"`{by}` {kind}, content binary")

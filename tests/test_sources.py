@@ -102,11 +102,12 @@ def test_bad_digest(tmp_path):
 def test_parameters(tmp_path):
     p = tmp_path / "p.json"
     p.write_text(json.dumps({"tohr": {"in": "a.tif", "dem": "b.tif", "max_depth": 3.0, "force": True}}))
-    args = cli.parser().parse_args(cli.with_parameters(["tohr", "--params", str(p), "--max-depth", "4"]))
+    argv = ["tohr", "--params", str(p), "--max-depth", "4"]
+    args = cli.parser(cli.settings_of(argv)).parse_args(argv)
     assert (args.source, args.dem, args.max_depth, args.force) == ("a.tif", "b.tif", 4.0, True)
     p.write_text(json.dumps({"force": 1}))
     with pytest.raises(ValueError):
-        cli.with_parameters(["tohr", "--params", str(p)])
+        cli.parser(cli.settings_of(["tohr", f"--machine-json={p}"]))
     assert cli.level(0, 0) == 20 and cli.level(5, 0) == 10 and cli.level(0, 9) == 40
 
 
@@ -120,6 +121,11 @@ def test_command_line(spark, tmp_path, capsys):
     values, _ = geotiff.decode(out.read_bytes())
     assert values.shape == (64, 64) and np.allclose(values, 1.0, atol=1e-5) and capsys.readouterr().out.strip().endswith("sr.tif")
     assert cli.main(["tohr", "--in", str(tmp_path / "none.tif"), "--dem", str(tmp_path / "dem.tif")]) == 1
+    (tmp_path / "there.tif").write_bytes(geotiff.encode(low, 2.0, -2.0, 300.0, 4000.0))
+    (tmp_path / "ground.tif").write_bytes(geotiff.encode(high, 1.0, -1.0, 300.0, 4000.0))
+    assert cli.main(["tohr", "--in", str(tmp_path / "there.tif"), "--dem", str(tmp_path / "dem.tif"), "--out", str(out)]) == 1
+    assert cli.main(["tohr", "--in", str(tmp_path / "there.tif"), "--dem", str(tmp_path / "ground.tif"), "--out", str(out), "--tile-size", "16", "--tile-overlap", "4"]) == 0
+    assert {k: geotiff.header(out.read_bytes())[k] for k in "aecf"} == {"a": 1.0, "e": -1.0, "c": 300.0, "f": 4000.0}
 
 
 def test_footprints(spark):
