@@ -7,10 +7,13 @@ tile's id) go in ``by``. Every operator is an equi-join or an aggregation on cel
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 
 def scale_join(fine: DataFrame, coarse: DataFrame, scale: int, by: Sequence[str] = ()) -> DataFrame:
     """Each fine cell with the values of the coarse cell it lies in (unmatched fine cells keep nulls)."""
@@ -91,3 +94,52 @@ def mosaic_last_wins(layers: DataFrame, value: str, order: str, by: Sequence[str
     """One grid of overlapping layers: the valid value of the latest layer at each cell."""
     valid = layers.where(F.col(value).isNotNull())
     return valid.groupBy(*by, "r", "c").agg(F.max_by(value, order).alias(value))
+
+
+def grid_cells(spark: SparkSession, height: int, width: int) -> DataFrame:
+    """r and c of every cell of a grid."""
+    return spark.range(height * width).select(F.expr(f"id div {width}").alias("r"), (F.col("id") % width).alias("c"))
+
+
+def warp_mosaic(cells: DataFrame, rasters: DataFrame, grid: dict, bucket: int = 256) -> DataFrame:
+    """r, c and value of a target grid from rasters on grids and in coordinate systems of their own.
+
+    ``rasters``: ord, raster_id, height, width, a, e, c, f and crs, a short table; ``cells``: raster_id, r, c, value;
+    ``grid``: height, width, a, e, c, f and crs of the target. A target cell takes the mean of the valid ones among the
+    four source centres around its own, weighted bilinearly, if its centre lies on the raster; where rasters overlap,
+    the valid one with the highest ``ord``. Target cells without value have no row. A raster without ``crs`` raises.
+    Target cells meet the rasters whose projected bounds touch their bucket, so nothing is a nested loop.
+    """
+    spark, target = cells.sparkSession, grid["crs"]
+    systems = [r.crs for r in rasters.select("crs").distinct().collect()]  # a handful
+    if target is None or None in systems:
+        raise ValueError("every raster needs a coordinate system")
+    points = grid_cells(spark, grid["height"], grid["width"]).withColumns({"_by": F.expr(f"r div {bucket}"), "_bx": F.expr(f"c div {bucket}")})
+    columns = ("height", "width", "a", "e", "c", "f")
+    own = rasters.select("ord", "raster_id", "crs", *(F.col(k).alias(f"_{k}") for k in columns))
+    layers = []
+    for crs in systems:
+        here = own.where(F.col("crs") == crs)
+        boxes = here.withColumns({"xmin": F.col("_c"), "xmax": F.col("_c") + F.col("_width") * F.col("_a"), "ymin": F.col("_f") + F.col("_height") * F.col("_e"), "ymax": F.col("_f")})
+        boxes = geo.reproject_bounds(boxes, crs, target)
+        rows, columns_ = [(F.col("ymax") - grid["f"]) / grid["e"], (F.col("ymin") - grid["f"]) / grid["e"]], [(F.col("xmin") - grid["c"]) / grid["a"], (F.col("xmax") - grid["c"]) / grid["a"]]
+        spans = []
+        for (first, last), n in ((rows, grid["height"]), (columns_, grid["width"])):
+            spans.append((F.greatest(F.floor(first) - 1, F.lit(0)), F.least(F.floor(last) + 1, F.lit(n - 1))))
+        boxes = boxes.where((spans[0][0] <= spans[0][1]) & (spans[1][0] <= spans[1][1]))
+        touched = lambda s: F.explode(F.sequence(F.floor(s[0] / bucket), F.floor(s[1] / bucket)))
+        listed = boxes.withColumn("_by", touched(spans[0])).withColumn("_bx", touched(spans[1])).drop("xmin", "xmax", "ymin", "ymax")
+        centres = points.withColumns({"_x": grid["c"] + (F.col("c") + 0.5) * grid["a"], "_y": grid["f"] + (F.col("r") + 0.5) * grid["e"]})
+        met = geo.reproject(centres, "_x", "_y", target, crs).join(listed, ["_by", "_bx"]).drop("_by", "_bx")
+        met = met.withColumns({"_x": (F.col("_x") - F.col("_c")) / F.col("_a"), "_y": (F.col("_y") - F.col("_f")) / F.col("_e")})
+        layers.append(met.where("_x >= 0 and _y >= 0 and _x < _width and _y < _height").select("ord", "raster_id", "r", "c", "_x", "_y"))
+    if not layers:
+        return cells.select("r", "c", "value").limit(0)
+    met = reduce(DataFrame.unionAll, layers)
+    low = {k: F.floor(F.col(k) - 0.5) for k in ("_x", "_y")}
+    corner = lambda k, d: (low[k] + d, 1 - F.abs(F.col(k) - 0.5 - low[k] - d))
+    corners = F.array(*(F.struct(corner("_y", i)[0].alias("r"), corner("_x", j)[0].alias("c"), (corner("_y", i)[1] * corner("_x", j)[1]).alias("w")) for i in (0, 1) for j in (0, 1)))
+    asked = met.select("ord", "raster_id", "r", "c", F.explode(corners).alias("_s")).where("_s.w > 0").select("ord", "raster_id", "r", "c", F.col("_s.r").alias("_r"), F.col("_s.c").alias("_c"), F.col("_s.w").alias("_w"))
+    source = cells.where("value is not null").select("raster_id", F.col("r").alias("_r"), F.col("c").alias("_c"), "value")
+    means = asked.join(source, ["raster_id", "_r", "_c"]).groupBy("ord", "r", "c").agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"))
+    return mosaic_last_wins(means, "value", "ord")
