@@ -32,7 +32,7 @@ class Conic:
 
 
 #: The conic of Canada's national grids.
-_CONICS = {3979: Conic(49.0, 77.0, 49.0, -95.0)}
+CONICS = {3979: Conic(49.0, 77.0, 49.0, -95.0)}
 
 
 def _code(crs: str) -> int:
@@ -59,26 +59,26 @@ def _series() -> tuple[float, list[float], list[float]]:
     return radius, forth, back
 
 
-_E = math.sqrt(FLATTENING * (2 - FLATTENING))
+ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
 
 
 def _conformal(latitude: Column) -> Column:
     """tan of the conformal latitude."""
     s = F.sin(latitude)
-    return F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
+    return F.sinh(F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s))
 
 
 def _geodetic(conformal: Column) -> Column:
     """The latitude of a conformal latitude, by its series."""
-    e2, e4, e6, e8 = (_E ** (2 * k) for k in range(1, 5))
+    e2, e4, e6, e8 = (ECCENTRICITY ** (2 * k) for k in range(1, 5))
     terms = (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520, 7 * e6 / 120 + 81 * e8 / 1120, 4279 * e8 / 161280)
     return sum((F.lit(t) * F.sin(2 * k * conformal) for k, t in enumerate(terms, 1)), conformal)
 
 
-def _cone(conic: Conic) -> tuple[float, float, float]:
+def cone(conic: Conic) -> tuple[float, float, float]:
     """Exponent, factor and the radius of the origin's parallel."""
-    m = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - (_E * math.sin(math.radians(d))) ** 2)
-    t = lambda d: math.exp(-(math.atanh(math.sin(math.radians(d))) - _E * math.atanh(_E * math.sin(math.radians(d)))))
+    m = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - (ECCENTRICITY * math.sin(math.radians(d))) ** 2)
+    t = lambda d: math.exp(-(math.atanh(math.sin(math.radians(d))) - ECCENTRICITY * math.atanh(ECCENTRICITY * math.sin(math.radians(d)))))
     n = (math.log(m(conic.first)) - math.log(m(conic.second))) / (math.log(t(conic.first)) - math.log(t(conic.second)))
     factor = AXIS * m(conic.first) / (n * t(conic.first) ** n)
     return n, factor, factor * t(conic.latitude) ** n
@@ -105,8 +105,8 @@ def _from_degrees(code: int) -> list[Step]:
             ),
             lambda x, y: (500000.0 + 0.9996 * radius * x, zone[1] + 0.9996 * radius * y),
         ]
-    if conic := _CONICS.get(code):
-        n, factor, origin = _cone(conic)
+    if conic := CONICS.get(code):
+        n, factor, origin = cone(conic)
         return [
             lambda lon, lat: (n * F.radians(lon - conic.longitude), F.radians(lat)),
             lambda theta, phi: (theta, factor * F.exp(-n * F.asinh(_conformal(phi)))),
@@ -133,8 +133,8 @@ def _to_degrees(code: int) -> list[Step]:
             lambda eta, xi: (zone[0] + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.asin(F.sin(xi) / F.cosh(eta))),
             geodetic,
         ]
-    if conic := _CONICS.get(code):
-        n, factor, origin = _cone(conic)
+    if conic := CONICS.get(code):
+        n, factor, origin = cone(conic)
         return [
             lambda x, y: (conic.longitude + F.degrees(F.atan2(x, origin - y)) / n, F.sqrt(x * x + (origin - y) * (origin - y))),
             lambda lon, rho: (lon, F.atan(F.sinh(-F.log(rho / factor) / n))),

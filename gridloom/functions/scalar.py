@@ -94,3 +94,8 @@ def merge_growth(anchor: Column, grown: Column, distance: Column, dem: Column, l
     """The anchor's surface, else the grown one where it is near enough and above the ground."""
     near = F.lit(True) if limit is None else distance < limit
     return F.when(dem.isNotNull(), F.coalesce(anchor, F.when(near & (grown > dem), grown)))
+
+
+def product(dimensions: Column) -> Column:
+    """The product of an array of whole numbers, 1 if it is empty."""
+    return F.aggregate(dimensions, F.lit(1).cast("long"), lambda s, x: s * x)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import registry
+from ..functions import scalar
+from ..sources import registry, stac
 from .relations import query, table
 
 
@@ -19,8 +20,8 @@ def sha256_verify(spark, sf_dir):
 @query("SELECT page_id, substr(sha256('EPSG:3979|' || printf('%.8f,%.8f,%.8f,%.8f', page_id / 7.0, page_id / 11.0, page_id / 7.0 + 1, page_id / 11.0 + 1) || '|' || url || '|hrdem|dtm'), 1, 24) AS key FROM pages")
 def fetch_cache_key(spark, sf_dir):
     x, y = F.col("page_id") / 7.0, F.col("page_id") / 11.0
-    text = F.concat(F.lit("EPSG:3979|"), F.format_string("%.8f,%.8f,%.8f,%.8f", x, y, x + 1, y + 1), F.lit("|"), F.col("url"), F.lit("|hrdem|dtm"))
-    return table(spark, sf_dir, "pages").select("page_id", F.substring(F.sha2(text, 256), 1, 24).alias("key"))
+    key = stac.mosaic_key(F.lit("EPSG:3979"), [x, y, x + 1, y + 1], F.col("url"), F.lit("hrdem"), F.lit("dtm"))
+    return table(spark, sf_dir, "pages").select("page_id", key.alias("key"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total, count(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY event_type")
@@ -33,9 +34,8 @@ def json_extract(spark, sf_dir):
     "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CASE WHEN regexp_extract(url, '^([a-z]+)://', 1) IN ('http', 'https') THEN 'http' ELSE 'file' END AS backend FROM pages"
 )
 def url_scheme_dispatch(spark, sf_dir):
-    scheme = F.coalesce(F.parse_url("url", F.lit("PROTOCOL")), F.lit(""))
-    backend = F.when(scheme.isin("http", "https"), "http").otherwise("file")
-    return table(spark, sf_dir, "pages").select("page_id", scheme.alias("scheme"), F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("host"), backend.alias("backend"))
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", registry.scheme(url).alias("scheme"), registry.host(url).alias("host"), registry.backend_column(url).alias("backend"))
 
 
 @query(
@@ -45,12 +45,9 @@ def url_scheme_dispatch(spark, sf_dir):
 def string_paths(spark, sf_dir):
     size = F.col("p_size")
     name = F.concat(F.col("p_brand"), F.when(size % 2 == 0, F.lit("")).otherwise(F.lit(".asc")))
-    extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    output = F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_sr"), F.when(extension == "", F.lit(".tif")).otherwise(extension))
     dem = F.concat(F.lit("x_"), F.lpad((size % 20 + 10).cast("string"), 3, "0"), F.lit("_dem"))
-    found = F.regexp_extract(dem, r"(?:^|[_/])([0-9]{2,})_?dem", 1)
-    res = F.when(found == "", F.lit(2.0)).otherwise(found.cast("int").cast("double"))
-    return table(spark, sf_dir, "part").select("p_partkey", registry.module_name(F.col("p_name")).alias("module"), output.alias("output"), F.lower(F.trim("p_type")).alias("source_id"), res.alias("res"))
+    columns = {"module": registry.module_name(F.col("p_name")), "output": registry.output_name(name), "source_id": registry.source_id(F.col("p_type")), "res": registry.dem_resolutions(dem)}
+    return table(spark, sf_dir, "part").select("p_partkey", *(v.alias(k) for k, v in columns.items()))
 
 
 @query(
@@ -110,5 +107,4 @@ def array_product(spark, sf_dir):
     """Numbers of parameters: the product of each tensor's dimensions, summed."""
     k = F.col("vec_id")
     dims = F.array(1 + F.abs(k) % 4, 2 + k % 3, F.size("embedding").cast("long"))
-    product = F.aggregate(dims, F.lit(1).cast("long"), lambda s, x: s * x)
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sum(product).alias("parameters"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sum(scalar.product(dims)).alias("parameters"), F.count("*").alias("n"))

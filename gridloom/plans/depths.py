@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import align, normalize, validate
+from ..sources import stac
 from ..sources.storage import stash
 from .relations import DEM, HR, LR, MAX_DEPTH, NODATA, UNIT, ZERO, S, dem, hr, lr, query, snap, table
 
@@ -49,10 +50,10 @@ def bbox_window_read(spark, sf_dir):
 
 @query("SELECT n_regionkey::BIGINT AS region, greatest(1, ceil((max(n_nationkey) + 1 - min(n_nationkey)) / (1 + min(n_nationkey) % 3 + 0.25)))::BIGINT AS width, min(n_nationkey)::BIGINT AS first FROM nation GROUP BY n_regionkey")
 def mosaic_grid(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").withColumn("res", 1 + F.col("n_nationkey") % 3 + 0.25)
-    grid = n.groupBy("n_regionkey").agg(F.min_by("res", "n_nationkey").alias("res"), F.min("n_nationkey").alias("left"), (F.max("n_nationkey") + 1).alias("right"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("right") - F.col("left")) / F.col("res")))
-    return grid.select(F.col("n_regionkey").cast("long").alias("region"), width.cast("long").alias("width"), F.col("left").cast("long").alias("first"))
+    key = F.col("n_nationkey")
+    assets = table(spark, sf_dir, "nation").select("n_regionkey", key.alias("ord"), (1 + key % 3 + 0.25).alias("res"), key.alias("xmin"), (key + 1).alias("xmax"), F.lit(0).alias("ymin"), F.lit(1).alias("ymax"))
+    grid = stac.mosaic_layout(assets, ("n_regionkey",))
+    return grid.select(F.col("n_regionkey").cast("long").alias("region"), F.col("width").cast("long").alias("width"), F.col("xmin").cast("long").alias("first"))
 
 
 @query(
@@ -76,7 +77,7 @@ def stac_bbox_filter(spark, sf_dir):
 @query("SELECT p_partkey AS asset, coalesce(CASE WHEN p_size % 3 = 0 THEN -1.0 END, CASE WHEN p_size % 5 = 0 THEN 0.0 END, -9999)::DOUBLE AS nodata FROM part")
 def mosaic_nodata_coalesce(spark, sf_dir):
     size = F.col("p_size")
-    nodata = F.coalesce(F.when(size % 3 == 0, F.lit(-1.0)), F.when(size % 5 == 0, F.lit(0.0)), F.lit(NODATA))
+    nodata = stac.chosen_nodata(F.when(size % 3 == 0, F.lit(-1.0)), F.when(size % 5 == 0, F.lit(0.0)))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset"), nodata.alias("nodata"))
 
 

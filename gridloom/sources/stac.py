@@ -38,9 +38,9 @@ def overlapping(items: DataFrame, queries: DataFrame, asset: str, cell: float) -
     return usable.join(found, "item_id", "left_semi")
 
 
-def mosaic_layout(assets: DataFrame) -> DataFrame:
-    """The grid of a mosaic: the first asset's resolution over the bounds of all, at least one cell a side."""
-    grid = assets.agg(F.min_by("res", "ord").alias("res"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+def mosaic_layout(assets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The grid of each mosaic: the first asset's resolution over the bounds of all, at least one cell a side."""
+    grid = assets.groupBy(*by).agg(F.min_by("res", "ord").alias("res"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
     cells = lambda a, b: F.greatest(F.lit(1), F.ceil((F.col(b) - F.col(a)) / F.col("res")))
     return grid.withColumns({"width": cells("xmin", "xmax"), "height": cells("ymin", "ymax")})
 
