@@ -76,9 +76,13 @@ def hard_mosaic(tiles: DataFrame, values: str = "px", width: int = 32) -> DataFr
     return cells.select((F.col("y0") + F.expr(f"_i div {width}")).alias("r"), (F.col("x0") + F.col("_i") % width).alias("c"), "v")
 
 
-def numbered(cells: DataFrame, name: str) -> DataFrame:
-    """Cells numbered from 1 in row-major order."""
-    counts = cells.groupBy("r").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
+def numbered(cells: DataFrame, name: str, block: int = 4096) -> DataFrame:
+    """Cells numbered from 1 in row-major order; one task sees one number for each ``block`` rows, no more."""
+    counts = cells.groupBy("r").agg(F.count("*").alias("_n")).withColumn("_b", F.expr(f"r div {block}"))
+    before = lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    blocks = counts.groupBy("_b").agg(F.sum("_n").alias("_n"))
+    blocks = blocks.select("_b", before(Window.orderBy("_b")).alias("_earlier"))
+    rows = counts.withColumn("_before", before(Window.partitionBy("_b").orderBy("r"))).join(blocks, "_b")
+    rows = rows.select("r", (F.col("_before") + F.col("_earlier")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("r").orderBy("c"))
-    return cells.withColumn("_k", inside).join(before, "r").withColumn(name, F.col("_before") + F.col("_k")).drop("_k", "_before")
+    return cells.withColumn("_k", inside).join(rows, "r").withColumn(name, F.col("_before") + F.col("_k")).drop("_k", "_before")
