@@ -227,3 +227,9 @@ def test_gathering_tiles(spark):
     assert predict.gather_tiles(df, "v", 2).first().v == [0, 1, 2, 3]
     with pytest.raises(Exception, match="gaps"):
         predict.gather_tiles(df.limit(3), "v", 2).collect()
+
+
+def test_numbered_over_blocks(spark):
+    cells = spark.createDataFrame([(r, c) for r in (0, 1, 4, 5, 9, 20) for c in range(r % 4 + 1)], "r long, c long")
+    got = tiling.numbered(cells, "n", block=3).orderBy("r", "c").collect()
+    assert [row.n for row in got] == list(range(1, len(got) + 1)) and tiling.numbered(cells.limit(0), "n").count() == 0
