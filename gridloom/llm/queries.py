@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, fixity, html, language, licenses, mixing, neardup, ogg, pii, substrings
+from . import decontamination, exact, fixity, html, language, licenses, mixing, neardup, ogg, pii, substrings
 
 QUERIES = {
     "op10_template_decontamination": decontamination.op10_template_decontamination,
+    "op13_exact_dedup": exact.op13_exact_dedup,
     "op1_license_scan": licenses.op1_license_scan,
     "op2_merkle_fixity": fixity.op2_merkle_fixity,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
@@ -16,4 +17,4 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
 }
-ORACLES = {"op2_merkle_fixity": fixity.ORACLE, "op8_source_mix": mixing.ORACLE}
+ORACLES = {"op13_exact_dedup": exact.ORACLE, "op2_merkle_fixity": fixity.ORACLE, "op8_source_mix": mixing.ORACLE}
