@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.storage import stash as stash
 
@@ -35,6 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frequent_bound(counts: DataFrame, column: str, most: int) -> int:
+    """The least power of two that at most ``most`` rows reach in ``column``, which holds positive whole numbers."""
+    power = F.length(F.bin(column)) - 1
+    rows = dict(counts.groupBy(power.alias("power")).count().collect())
+    reach = 0
+    for k in sorted(rows, reverse=True):
+        reach += rows[k]
+        if reach > most:
+            return 2 ** (k + 1)
+    return 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

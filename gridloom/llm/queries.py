@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact, fixity, html, language, licenses, mixing, neardup, ogg, pii, substrings
+from . import alignment, decontamination, exact, fixity, html, language, licenses, mixing, neardup, ogg, pii, substrings
 
 QUERIES = {
     "op10_template_decontamination": decontamination.op10_template_decontamination,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_exact_dedup": exact.op13_exact_dedup,
     "op1_license_scan": licenses.op1_license_scan,
     "op2_merkle_fixity": fixity.op2_merkle_fixity,
