@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import stash as stash
+from ..sources.storage import unstash as unstash
 
 #: White space of the word contracts: space and the controls 9 to 13.
 SPACE = np.zeros(256, bool)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, exact, fixity, html, language, licenses, mixing, neardup, ogg, pii, substrings
+from . import alignment, decontamination, exact, fixity, html, language, licenses, mixing, neardup, ogg, phrases, pii, substrings
 
 QUERIES = {
     "op10_template_decontamination": decontamination.op10_template_decontamination,
+    "op11_phrase_mining": phrases.op11_phrase_mining,
     "op12_token_alignment": alignment.op12_token_alignment,
     "op13_exact_dedup": exact.op13_exact_dedup,
     "op1_license_scan": licenses.op1_license_scan,
@@ -18,4 +19,4 @@ QUERIES = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_language_id": language.op9_language_id,
 }
-ORACLES = {"op13_exact_dedup": exact.ORACLE, "op2_merkle_fixity": fixity.ORACLE, "op8_source_mix": mixing.ORACLE}
+ORACLES = {"op11_phrase_mining": phrases.ORACLE, "op13_exact_dedup": exact.ORACLE, "op2_merkle_fixity": fixity.ORACLE, "op8_source_mix": mixing.ORACLE}
