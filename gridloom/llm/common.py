@@ -49,6 +49,22 @@ def frequent_bound(counts: DataFrame, column: str, most: int) -> int:
     return 1
 
 
+#: Keys with more than one in so many rows are joined by broadcast.
+HOT_KEYS = 1000
+
+
+def join_skewed(rows: DataFrame, told: DataFrame, key: str, size: str, how: str = "inner", hot: int = HOT_KEYS) -> DataFrame:
+    """``rows`` joined with ``told``, which has one row for each key and, in ``size``, the key's number of rows at least.
+
+    Keys with over 1 / ``hot`` of all the sizes, of which there are fewer than ``hot``, are broadcast; no other key has more
+    rows than that, so the others join by a shuffle. ``told`` is read three times: let it be a written table or cheap.
+    """
+    total = told.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    often = F.col(size) * hot > F.lit(total)
+    rest = rows.join(F.broadcast(told.where(often).select(key)), key, "left_anti")
+    return rows.join(F.broadcast(told.where(often)), key).unionByName(rest.join(told.where(~often), key, how))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,12 +3,13 @@
 Pages of a host with the same lines count as one. They are ordered by URL path, and each is paired with the nearest
 page that isn't a copy of it. The two pages' text lines are aligned by their longest common subsequence, and lines
 that they share (menus, notices, footers of the site's template) are deleted. Elements that the markup itself names as
-no content (navigation, forms, scripts, adverts, comments ...) go first, whether their lines are shared or not.
+no content (navigation, scripts, adverts, comments ...) go first, whether their lines are shared or not.
 
 Where a page marks its article, the article bounds the text. Pages at near URLs may carry one passage twice, so a
-shared line of an article is only deleted if it stands on several of the host's distinct pages and on a fair share of
-them. Where none is marked, lines that stand on half of the host's distinct pages go too, also from pages that have
-none but copies around them.
+shared line of an article only goes where the whole host says so: it must stand at one place (the same elements around
+it, as many lines from the article's start or end) and be shared there by half of the host's distinct pages with their
+partners. Then it goes from all pages that have it there; headings never go. Where no article is marked, lines that
+stand on half of the host's distinct pages go too, also from pages that have none but copies around them.
 
 Only hashed lines move for the pairing: rows are range-partitioned by (host, path), so that a host with a third of
 all pages spreads over tasks, and a few rows at each border are handed to the neighbouring partition.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table
+from .common import join_skewed, slices, stash, table
 
 #: Pages on each side in path order among which a partner is looked for.
 NEIGHBOURS = 8
@@ -39,9 +40,6 @@ COPY_SHARE = 0.8
 TEMPLATE_SHARE = 0.5
 TEMPLATE_LEAST = 3
 TEMPLATE_PAGES = 4
-#: A shared line inside an article goes if it stands on so many distinct pages of the host and on this share of them.
-ARTICLE_LEAST = 4
-ARTICLE_SHARE = 0.1
 #: Rows of a range partition.
 PARTITION_ROWS = 20_000
 #: Pages whose line masks are broadcast at most.
@@ -61,68 +59,133 @@ _INLINE = frozenset(
     "button select input audio video canvas map".split()
 )
 _MAIN = frozenset(("article", "main"))
-_DROPPED = frozenset("nav footer aside form button select dialog menu head input fieldset audio video canvas map".split())
-
-
-def _names(words: str) -> re.Pattern:
-    return re.compile(r"(?:^|[\s_-])(?:" + "|".join(words.split()) + r")(?:$|[\s_-]|\d)", re.I)
-
-
-#: Names of classes, identifiers and roles that say no content by themselves.
-_PARTS = _names(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal comment comments "
-    "commentlist disqus respond related recommended teaser teasers newsletter subscribe footer site-header masthead topbar pagination skip-link"
+_DROPPED = frozenset("nav footer aside button select dialog menu head input fieldset audio video canvas map".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end an open one of the same name before them.
+_SIBLINGS = frozenset("p li dt dd tr td th option".split())
+#: Names of classes, and of identifiers of plain boxes, that say no content.
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar side-bar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr popup modal comment comments "
+    "commentlist reply replies discussion thread disqus respond related recommended teaser teasers newsletter subscribe footer site-header masthead topbar pagination skip-link promo notice share "
+    "sharing social".split()
+)
+#: Names that say so outside an article; inside one most of the element's words must be links as well.
+_UNSURE = frozenset("menu banner overlay toolbar pager widget".split())
+#: What such names are joined with by hyphens without changing what they say ("comment-list"; not "comment-policy").
+_HELPERS = frozenset(
+    "box list container wrapper wrap area section block bar left right top bottom site page post entry item items inner outer link links form title unit slot row col column panel group holder "
+    "placeholder primary secondary posts articles stories news videos products buttons icons feed count thread user reader".split()
 )
-#: Names that say so outside an article; inside one the element must be short as well, as text may be in a box of that name.
-_MAYBE = _names("promo banner notice overlay share sharing social toolbar pager widget")
+#: Elements whose identifier may name them so; headings and sections have identifiers made from their text.
+_BOXES = frozenset("div ul ol table form span".split())
 #: Classes of articles that aren't the page's.
 _OTHER_ARTICLES = frozenset("comment reply teaser related recommended sponsored advert ad promo".split())
-#: Words outside links from which an element with such a name is text of the article.
-_TEXT_WORDS = 25
 #: Articles hold the page's text if they have this share of what the markup doesn't drop; fewer are teasers.
 _ARTICLE_TEXT = 0.25
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']?([^\s>]+))", re.I)
+#: A form that holds an article or this share of the page's words is a plain box; any other box must hold all articles and this share.
+_MOST_TEXT = 0.5
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|[\"']?([^\s>]+))", re.I)
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert"))
+_JOINTS = re.compile(r"[-_]+|\d+")
 _SPACES = re.compile(r"\s+")
 
 
 class Line(NamedTuple):
     text: str
     main: bool
+    heading: bool
+    around: str  # names of the elements around it, those in the article's if it is in one
+
+
+class Content(NamedTuple):
+    """Lines that may be a page's text, and whether the page marks its article."""
+
+    lines: list[Line]
+    marked: bool
+
+    @property
+    def texts(self) -> list[str]:
+        return [x.text for x in self.lines]
+
 
+def named(word: str) -> str | None:
+    """``noise`` or ``unsure`` if a whole name says no content."""
+    if word in _NOISE:
+        return "noise"
+    if word in _UNSURE:
+        return "unsure"
+    parts = [x for x in _JOINTS.split(word) if x]
+    if all(x in _NOISE or x in _UNSURE or x in _HELPERS for x in parts):
+        if any(x in _NOISE for x in parts):
+            return "noise"
+        if any(x in _UNSURE for x in parts):
+            return "unsure"
+    return None
 
-def _no_content(name: str, attributes: str, in_main: bool) -> bool | None:
-    """Whether an element is dropped; None if its length decides."""
+
+def _verdict(name: str, attributes: str, in_main: bool) -> str | None:
+    """``drop``; ``unless most``, ``unless all`` or ``if links`` where what the element holds decides; None for content."""
     if name in _DROPPED or (name == "header" and not in_main):
-        return True
-    if not attributes or name in ("main", "body", "html"):
-        return False
-    values = [m[1] or m[2] or m[3] or "" for m in _CLASS.finditer(attributes)]
-    if name == "article":
-        return any(w in _OTHER_ARTICLES for v in values for w in v.lower().split())
-    if any(_PARTS.search(v) or v.lower() in _ROLES for v in values):
-        return True
-    if any(_MAYBE.search(v) for v in values):
-        return None if in_main else True
-    return False
-
-
-def _closed(tokens: list[re.Match]) -> set[int]:
-    """Places of the opening tags whose element is closed."""
-    open_: dict[str, list[int]] = {}
-    out = set()
-    for at, m in enumerate(tokens):
-        if m["name"]:
-            name = m["name"].lower()
-            if not m["close"]:
-                open_.setdefault(name, []).append(at)
-            elif open_.get(name):
-                out.add(open_[name].pop())
-    return out
+        return "drop"
+    if name in ("main", "body", "html"):
+        return None
+    said = None
+    for m in _ATTRIBUTE.finditer(attributes):
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "article":
+            if kind != "id" and _OTHER_ARTICLES.intersection(value.split()):
+                return "drop"
+        elif kind == "role":
+            said = "noise" if value.strip() in _ROLES else said
+        elif kind == "class" or name in _BOXES:
+            for word in value.split():
+                one = named(word)
+                said = one if one and said != "noise" else said
+    if said == "unsure" and in_main:
+        return "if links"
+    if said:
+        return "unless all"
+    return "unless most" if name == "form" else None
+
+
+class _Sizes:
+    """Words, words in links and marks of articles before each token."""
+
+    def __init__(self, tokens: list[re.Match]) -> None:
+        self.words, self.linked, self.mains, self.ends = [0], [0], [0], {}
+        open_: dict[str, list[int]] = {}
+        links = 0
+        for at, m in enumerate(tokens):
+            n, main = len(m["text"].split()) if m["text"] is not None else 0, 0
+            if m["name"]:
+                name = m["name"].lower()
+                if not m["close"]:
+                    open_.setdefault(name, []).append(at)
+                    links += name == "a"
+                    main = name in _MAIN and _verdict(name, m["attributes"], False) is None
+                elif open_.get(name):
+                    self.ends[open_[name].pop()] = at
+                    links -= name == "a"
+            self.words.append(self.words[-1] + n)
+            self.linked.append(self.linked[-1] + n * (links > 0))
+            self.mains.append(self.mains[-1] + main)
+
+    def drops(self, at: int, verdict: str | None) -> bool:
+        """Whether the element that token ``at`` opens goes. One that isn't closed has no known size."""
+        if verdict in (None, "drop") or at not in self.ends:
+            return verdict not in (None, "if links")
+        end = self.ends[at]
+        words, linked = self.words[end] - self.words[at], self.linked[end] - self.linked[at]
+        if verdict == "if links":
+            return 2 * linked >= words
+        held, most = self.mains[end] - self.mains[at], words >= _MOST_TEXT * max(1, self.words[-1])
+        if verdict == "unless all":
+            return held < self.mains[-1] or not most
+        return not held and not most
 
 
 def lines_of(page: str) -> list[Line]:
-    """Text lines of a page's content elements, one for each block, and whether each lies in the page's article.
+    """Text lines of a page's content elements, one for each block.
 
     An element that is dropped takes everything to its end along, articles too; one that is never closed ends where
     an article begins.
@@ -132,24 +195,22 @@ def lines_of(page: str) -> list[Line]:
     main: list[str] = []
     skipped: list[str] = []
     ends = True  # whether what is skipped is closed
-    doubtful: list[list] = []  # elements whose length decides: name, depth, lines and parts before, words
-    linked = 0
+    around: list[str] = []
 
     def flush() -> None:
         if parts:
             text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append(Line(text, bool(main)))
+                inside = around[len(around) - 1 - around[::-1].index(main[0]) :] if main and main[0] in around else around
+                out.append(Line(text, bool(main), not _HEADINGS.isdisjoint(inside), "/".join(inside)))
             parts.clear()
 
     tokens = list(_TOKEN.finditer(page))
-    closed = _closed(tokens)
+    sizes = _Sizes(tokens)
     for at, m in enumerate(tokens):
         if (text := m["text"]) is not None:
             if not skipped:
                 parts.append(text)
-                if doubtful and not linked:
-                    doubtful[-1][4] += len(text.split())
             continue
         name = (m["name"] or "").lower()
         if not name:
@@ -164,22 +225,13 @@ def lines_of(page: str) -> list[Line]:
                 if name not in main or ends:
                     continue
                 skipped.clear()
-            if name == "a":
-                linked = max(0, linked - 1)
-            if doubtful and name == doubtful[-1][0]:
-                doubtful[-1][1] -= 1
-                if not doubtful[-1][1]:
-                    _, _, lines, pieces, words = doubtful.pop()
-                    if words < _TEXT_WORDS and (not pieces or len(out) == lines):
-                        del parts[pieces:], out[lines:]
-                    elif doubtful:
-                        doubtful[-1][4] += words
-            if name in main:
+            if name in main or name not in _INLINE:
                 flush()
+            if name in main:
                 while main.pop() != name:
                     pass
-            elif name not in _INLINE:
-                flush()
+            if name in around:
+                del around[len(around) - 1 - around[::-1].index(name) :]
             continue
         if skipped:
             if name in _MAIN and not ends:
@@ -192,35 +244,36 @@ def lines_of(page: str) -> list[Line]:
         if name == "br":
             parts.append(" ")
             continue
-        drop = _no_content(name, m["attributes"], bool(main))
+        drop = sizes.drops(at, _verdict(name, m["attributes"], bool(main)))
         empty = name in _VOID or m["attributes"].endswith("/")
+        if name not in _INLINE:
+            flush()
         if drop:
-            if name not in _INLINE:
-                flush()
             if not empty:
                 skipped.append(name)
-                ends = at in closed
+                ends = at in sizes.ends
             continue
-        if name not in _INLINE:
-            flush()
-        if name == "a" and not empty:
-            linked += 1
-        if doubtful and name == doubtful[-1][0]:
-            doubtful[-1][1] += 1
-        elif drop is None and not empty and at in closed:
-            doubtful.append([name, 1, len(out), len(parts), 0])
+        if name not in _INLINE and not empty:
+            if name in _SIBLINGS and around and around[-1] == name:
+                around.pop()
+            around.append(name)
         if name in _MAIN:
             main.append(name)
     flush()
     return out
 
 
-def content(page: str) -> tuple[list[str], bool]:
-    """The lines that may be main text, and whether the page marks its article."""
+def parsed(page: str) -> Content:
     lines = lines_of(page)
     held = sum(len(x.text) for x in lines if x.main)
     marked = held > 0 and held >= _ARTICLE_TEXT * sum(len(x.text) for x in lines)
-    return [x.text for x in lines if x.main or not marked], marked
+    return Content([x for x in lines if x.main or not marked], marked)
+
+
+def content(page: str) -> tuple[list[str], bool]:
+    """The lines that may be main text, and whether the page marks its article."""
+    found = parsed(page)
+    return found.texts, found.marked
 
 
 def common_lines(a: list, b: list) -> list[bool]:
@@ -277,53 +330,77 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (m[1].lower().removeprefix("www."), m[2].rstrip("/") or "/") if m else ("", url or "")
 
 
-def _identity(url: str | None, lines: list[str], marked: bool) -> tuple[int, bytes]:
-    """What pages of a host with the same lines share, and the hashed lines."""
-    hashes = np.array([_hash(x) for x in lines], np.int64).tobytes()
-    return _uid(host_and_path(url)[0], str(marked), hashes.hex()), hashes
+def _identity(url: str | None, found: Content) -> tuple[int, bytes, bytes]:
+    """What pages of a host with the same lines share, the hashed lines, and two hashed places of each line of an article (0 for a heading)."""
+    host = host_and_path(url)[0]
+    hashes = np.array([_hash(x.text) for x in found.lines], np.int64).tobytes()
+    if not found.marked:
+        return _uid(host, "", hashes.hex()), hashes, b""
+    places = np.zeros((len(found.lines), 2), np.int64)
+    for k, x in enumerate(found.lines):
+        if not x.heading:
+            places[k] = [_uid(host, x.around, edge, str(n), x.text) for edge, n in (("start", k), ("end", len(found.lines) - k))]
+    return _uid(host, "marked", hashes.hex(), places.tobytes().hex()), hashes, places.tobytes()
 
 
 def _lines(pages: DataFrame) -> DataFrame:
-    """uid, host, path, marked and hashed lines of every distinct page that has lines."""
+    """uid, host, path, hashed lines and places (null if no article is marked) of every distinct page that has lines."""
 
     def run(batches):
         for batch in slices(batches):
             rows = []
             for url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lines, marked = content(page or "")
-                if lines:
-                    uid, hashes = _identity(url, lines, marked)
-                    rows.append((uid, *host_and_path(url), marked, hashes))
+                found = parsed(page or "")
+                if found.lines:
+                    uid, hashes, places = _identity(url, found)
+                    rows.append((uid, *host_and_path(url), hashes, places if found.marked else None))
             if rows:
-                types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["uid", "host", "path", "marked", "hashes"])
+                types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["uid", "host", "path", "hashes", "places"])
 
-    lines = pages.mapInArrow(run, "uid long, host string, path string, marked boolean, hashes binary")
-    return lines.groupBy("uid").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("marked").alias("marked"), F.first("hashes").alias("hashes"))
+    lines = pages.mapInArrow(run, "uid long, host string, path string, hashes binary, places binary")
+    return lines.groupBy("uid").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
 
 
 def _frequent(lines: DataFrame) -> DataFrame:
-    """host, frequent and template: hashed lines that stand on ARTICLE_SHARE, and on TEMPLATE_SHARE, of a host's distinct pages.
+    """host, pages (its distinct ones) and template: the lines, and places of lines, that TEMPLATE_SHARE of them have (null: none).
 
-    A host with an average of n lines a page has at most n / ARTICLE_SHARE frequent lines, however many pages.
+    Hosts with fewer than TEMPLATE_PAGES pages are left out.
+    A host with an average of n lines a page has at most 3 n / TEMPLATE_SHARE of them, however many pages.
     """
 
     def run(batches):
         for batch in batches:
             hosts, hashes = [], []
-            for k, x in enumerate(batch["hashes"].to_pylist()):
-                own = np.unique(np.frombuffer(x, np.int64))
+            for k, (x, places) in enumerate(zip(batch["hashes"].to_pylist(), batch["places"].to_pylist(), strict=True)):
+                own = np.unique(np.frombuffer(x if places is None else places, np.int64))
+                own = own[own != 0].tolist()
                 hosts += [k] * (len(own) + 1)
-                hashes += [*own.tolist(), None]
+                hashes += [*own, None]
             yield pa.RecordBatch.from_arrays([batch["host"].take(pa.array(hosts, pa.int64())), pa.array(hashes, pa.int64())], ["host", "line"])
 
-    counts = lines.select("host", "hashes").mapInArrow(run, "host string, line long").groupBy("host", "line").count()
+    counts = lines.select("host", "hashes", "places").mapInArrow(run, "host string, line long").groupBy("host", "line").count()
     counts = stash(counts.where(f"count >= {TEMPLATE_LEAST}"))
-    pages = counts.where("line is null").select("host", F.col("count").alias("pages"))
-    usual = counts.where("line is not null").join(pages, "host").where(F.col("count") >= ARTICLE_SHARE * F.col("pages"))
-    often = F.when(F.col("count") >= ARTICLE_LEAST, F.col("line"))
-    half = (F.col("count") >= TEMPLATE_SHARE * F.col("pages")) & (F.col("pages") >= TEMPLATE_PAGES)
-    return usual.groupBy("host").agg(F.collect_list(often).alias("frequent"), F.collect_list(F.when(half, F.col("line"))).alias("template"))
+    pages = counts.where("line is null").select("host", F.col("count").alias("pages")).where(f"pages >= {TEMPLATE_PAGES}")
+    usual = counts.where("line is not null").join(pages, "host").where(F.col("count") >= TEMPLATE_SHARE * F.col("pages"))
+    return stash(pages.join(usual.groupBy("host").agg(F.collect_list("line").alias("template")), "host", "left"))
+
+
+def _usual(lines: DataFrame) -> DataFrame:
+    """``lines`` with pages and usual: of each line, whether the host's template has it (of an article's: which of its places)."""
+
+    def run(batches):
+        for batch in batches:
+            template, of, usual = np.zeros(0, np.int64), None, []
+            for host, hashes, places, held in zip(*(batch[c].to_pylist() for c in ("host", "hashes", "places", "template")), strict=True):
+                if held is not None and host != of:
+                    of, template = host, np.array(held, np.int64)
+                own = np.frombuffer(hashes if places is None else places, np.int64)
+                usual.append((np.isin(own, template) & (own != 0) if held is not None else np.zeros(len(own), bool)).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("uid", "host", "path", "hashes", "places", "pages")), pa.array(usual, pa.binary())], ["uid", "host", "path", "hashes", "places", "pages", "usual"])
+
+    joined = join_skewed(lines, _frequent(lines), "host", "pages", "left")
+    return joined.select("uid", "host", "path", "hashes", "places", "pages", "template").mapInArrow(run, "uid long, host string, path string, hashes binary, places binary, pages long, usual binary")
 
 
 def _with_borders(batches):
@@ -347,13 +424,16 @@ def _with_borders(batches):
         yield tagged(tail, part + 1, True)
 
 
+_FOUND = "uid long, gone array<int>, line int, place long, pages long, shared boolean"
+
+
 def _shared(rows: pa.Table) -> pa.Table:
-    """uid and a bitmap of the lines that go, of every page that has such lines."""
+    """gone: the lines that go from a page without a mark. Of the lines of an article that stand at a usual place: line, place, pages of the host, and whether the partner shares it."""
     rows = rows.sort_by([("host", "ascending"), ("path", "ascending"), ("uid", "ascending")])
-    uid, host, path = (rows[c].to_pylist() for c in ("uid", "host", "path"))
+    uid, host, path, places, pages = (rows[c].to_pylist() for c in ("uid", "host", "path", "places", "pages"))
     hashes = [np.frombuffer(x, np.int64).tolist() for x in rows["hashes"].to_pylist()]
-    frequent, templates = ([frozenset(x or ()) for x in rows[c].to_pylist()] for c in ("frequent", "template"))
-    out = {}
+    usuals = [np.frombuffer(x, bool) for x in rows["usual"].to_pylist()]
+    out = []
 
     def closeness(i: int, j: int) -> tuple[int, int]:
         a, b, n = path[i], path[j], 0
@@ -361,30 +441,47 @@ def _shared(rows: pa.Table) -> pa.Table:
             n += 1
         return -n, abs(i - j)
 
-    for i, (marked, context) in enumerate(zip(rows["marked"].to_pylist(), rows["context"].to_pylist(), strict=True)):
-        if context:
-            continue
-        usual = [not marked and x in templates[i] for x in hashes[i]]
-        gone = usual
+    def with_partner(i: int, usual: list[bool]) -> list[bool]:
+        """Which lines the partner shares; ``usual`` ones don't make a copy."""
         near = [j for j in range(max(0, i - NEIGHBOURS), min(len(uid), i + NEIGHBOURS + 1)) if j != i and host[j] == host[i]]
         for j in sorted(near, key=lambda j: (*closeness(i, j), j)):
             flags = common_lines(hashes[i], hashes[j])
             if sum(f and not u for f, u in zip(flags, usual, strict=True)) < COPY_SHARE * (len(usual) - sum(usual)) or all(usual):
-                gone = [u or (f and (not marked or x in frequent[i])) for x, f, u in zip(hashes[i], flags, usual, strict=True)]
-                break
-        if any(gone):
-            out[uid[i]] = np.packbits(np.array(gone)).tobytes()
-    return pa.table({"uid": pa.array(list(out), pa.int64()), "bits": pa.array(list(out.values()), pa.binary())})
+                return flags
+        return [False] * len(usual)
+
+    for i, context in enumerate(rows["context"].to_pylist()):
+        if context:
+            continue
+        if places[i] is None:
+            usual = usuals[i].tolist()
+            gone = [k for k, (u, f) in enumerate(zip(usual, with_partner(i, usual), strict=True)) if u or f]
+            if gone:
+                out.append((uid[i], gone, None, None, None, None))
+        elif usuals[i].any():
+            at, found = np.frombuffer(places[i], np.int64), np.flatnonzero(usuals[i]).tolist()
+            flags = with_partner(i, [False] * len(hashes[i]))
+            out += [(uid[i], None, k // 2, int(at[k]), pages[i], flags[k // 2]) for k in found]
+    types = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], ["uid", "gone", "line", "place", "pages", "shared"])
+
+
+def _agreed(found: DataFrame) -> DataFrame:
+    """uid and gone of the pages whose articles have lines that half of the host's pages share with their partners at that place."""
+    places = found.groupBy("place").agg(F.count("*").alias("size"), F.sum(F.col("shared").cast("long")).alias("votes"), F.first("pages").alias("pages"))
+    places = places.where((F.col("votes") >= TEMPLATE_LEAST) & (F.col("votes") >= TEMPLATE_SHARE * F.col("pages"))).select("place", "size")
+    return join_skewed(found.select("uid", "line", "place"), stash(places), "place", "size").groupBy("uid").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """uid and bits: the content lines of a page that it shares with the nearest page, or that are its host's template."""
+    """uid and gone: places of the content lines that a page shares with the nearest page, or that are its host's template."""
     lines = stash(_lines(pages.select("url", "html")))
     parts = max(1, -(-lines.count() // PARTITION_ROWS))
-    lines = lines.join(_frequent(lines), "host", "left").select("uid", "host", "path", "marked", "hashes", "frequent", "template")
-    ranged = lines.repartitionByRange(parts, "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
-    bordered = ranged.mapInArrow(_with_borders, "uid long, host string, path string, marked boolean, hashes binary, frequent array<long>, template array<long>, part int, context boolean")
-    return bordered.groupBy("part").applyInArrow(_shared, "uid long, bits binary")
+    ranged = _usual(lines).repartitionByRange(parts, "host", "path", "uid").sortWithinPartitions("host", "path", "uid")
+    bordered = ranged.mapInArrow(_with_borders, "uid long, host string, path string, hashes binary, places binary, pages long, usual binary, part int, context boolean")
+    found = stash(bordered.groupBy("part").applyInArrow(_shared, _FOUND))
+    unmarked, marked = found.where("gone is not null").select("uid", "gone"), found.where("place is not null")
+    return unmarked.unionByName(_agreed(marked)) if marked.take(1) else unmarked
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -400,23 +497,20 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
     shared = stash(shared_lines(rows))
     few = shared.limit(BROADCAST_PAGES + 1).collect()
 
-    def text(url, page, bits_of):
-        lines, marked = content(page or "")
-        bits = bits_of(lines, marked, url) if lines else None
-        if bits is not None:
-            gone = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(lines)).astype(bool)
-            lines = [x for x, g in zip(lines, gone, strict=True) if not g]
-        return "\n".join(lines)
+    def text(url, page, gone_of):
+        found = parsed(page or "")
+        gone = frozenset(gone_of(url, found) or ()) if found.lines else ()
+        return "\n".join(x for k, x in enumerate(found.texts) if k not in gone)
 
     def out(batch, texts):
         return pa.RecordBatch.from_arrays([batch["key"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     schema = f"key {kind}, url string, text string, n_chars long"
     if len(few) <= BROADCAST_PAGES:
-        masks = rows.sparkSession.sparkContext.broadcast({r["uid"]: bytes(r["bits"]) for r in few})
+        masks = rows.sparkSession.sparkContext.broadcast({r["uid"]: r["gone"] for r in few})
 
         def run(batches):
-            find = lambda lines, marked, url: masks.value.get(_identity(url, lines, marked)[0]) if masks.value else None
+            find = lambda url, found: masks.value.get(_identity(url, found)[0]) if masks.value else None
             for batch in slices(batches):
                 yield out(batch, [text(u, p, find) for u, p in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)])
 
@@ -424,15 +518,15 @@ def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
     def identify(batches):
         for batch in slices(batches):
-            uids = [_identity(u, *content(p or ""))[0] for u, p in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)]
+            uids = [_identity(u, parsed(p or ""))[0] for u, p in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(uids, pa.int64())], [*batch.schema.names, "uid"])
 
     def run_joined(batches):
         for batch in batches:
-            yield out(batch, [text(u, p, lambda *_: b) for u, p, b in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), batch["bits"].to_pylist(), strict=True)])  # noqa: B023
+            yield out(batch, [text(u, p, lambda *_: g) for u, p, g in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), batch["gone"].to_pylist(), strict=True)])  # noqa: B023
 
     named = rows.mapInArrow(identify, f"key {kind}, url string, html string, uid long")
-    return named.join(shared, "uid", "left").select("key", "url", "html", "bits").mapInArrow(run_joined, schema).withColumnRenamed("key", key)
+    return named.join(shared, "uid", "left").select("key", "url", "html", "gone").mapInArrow(run_joined, schema).withColumnRenamed("key", key)
 
 
 def op7_page_differencing(spark, sf_dir: str) -> DataFrame:
