@@ -52,9 +52,25 @@ class OnnxPredictor:
     providers: tuple[str, ...] = ("CPUExecutionProvider",)
     _session: object = field(default=None, repr=False)
 
+    @classmethod
+    def of(cls, path: str, **more) -> OnnxPredictor:
+        """The predictor of a file at the file's own scale."""
+        from ..sources.onnx import scale_of
+
+        return cls(path, scale_of(path)[1], **more)
+
+    @property
+    def tile(self) -> int:
+        """Side of the coarse input."""
+        from ..sources.onnx import scale_of
+
+        return scale_of(self.path)[0]
+
     def load(self) -> None:
         import onnxruntime
 
+        if missing := set(self.providers) - set(onnxruntime.get_available_providers()):
+            raise ValueError(f"no such provider here: {', '.join(sorted(missing))}")
         self._session = onnxruntime.InferenceSession(self.path, providers=list(self.providers))
         inputs = sorted(self._session.get_inputs(), key=lambda i: i.shape[1])
         if len(inputs) != 2 or any(len(i.shape) != 4 or i.shape[3] != 1 for i in inputs):

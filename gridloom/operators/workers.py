@@ -1,89 +1,68 @@
-"""Model workers: what turns a model's file into a predictor, found by the model's version.
+"""Workers: functions that turn a model's file into a predictor, registered under the model's version.
 
-A worker is a module in a folder of workers, named after the version with anything but letters, digits and underscores
-replaced, that defines ``ModelWorker``, a subclass of ``Worker``. Folders are searched in order; on a cluster their
-modules must reach the executors too (``SparkContext.addPyFile``).
+A worker is a function of a file's path and of the number of fine cells a coarse one has, decorated with
+``worker(version)``; the predictor it returns may run at another scale, its own. Modules that register workers are named
+as entry points of the group ``gridloom.workers`` by installed packages, or lie in folders. On a cluster they must reach
+the executors too (``SparkContext.addPyFile``).
 """
 
 from __future__ import annotations
 
-import importlib.util
+import contextlib
+import importlib.metadata
 import os
-import sys
-from collections.abc import Iterable
+import runpy
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 from .predict import OnnxPredictor, Predictor
 
+Maker = Callable[[str, int], Predictor]
 
-class Worker:
-    """A model's file with what runs it; a context, closed once its job is done."""
+#: Group of entry points, and the environment's list of folders.
+ENTRY_POINTS, FOLDERS = "gridloom.workers", "GRIDLOOM_WORKERS"
 
-    version = ""
+_made: dict[str, Maker] = {}
 
-    def __init__(self, path: str | os.PathLike, version: str | None = None):
-        self.path = Path(path).expanduser().resolve()
-        if not self.is_valid(self.path):
-            raise FileNotFoundError(self.path)
-        if version is not None and (not version or self.version not in ("", version)):
-            raise ValueError(f"a worker of {self.version!r} can't run the model {version!r}")
-        self.version = version or self.version
 
-    @classmethod
-    def is_valid(cls, path: str | os.PathLike) -> bool:
-        return Path(path).expanduser().is_file()
+def worker(version: str) -> Callable[[Maker], Maker]:
+    """Registers the decorated function for a model's version; a later one for the same version replaces it."""
+    if not version.strip():
+        raise ValueError("a worker needs a model's version")
 
-    def __enter__(self) -> Worker:
-        return self
+    def add(make: Maker) -> Maker:
+        if not callable(make):
+            raise TypeError(f"the worker of {version} can't be called")
+        _made[version] = make
+        return make
 
-    def __exit__(self, *_) -> None:
-        self.close()
+    return add
 
-    def close(self) -> None:
-        pass
 
-    def predictor(self, scale: int) -> Predictor:
-        """What ``predict_tiles`` runs, for coarse cells of ``scale`` fine ones."""
-        raise NotImplementedError
+def known(folders: Iterable[str | os.PathLike] | None = None) -> dict[str, Maker]:
+    """All registered workers by version, those of entry points and of modules in ``folders`` (default: the environment's) included."""
+    for point in importlib.metadata.entry_points(group=ENTRY_POINTS):
+        point.load()
+    given = os.environ.get(FOLDERS, "").split(os.pathsep) if folders is None else folders
+    for folder in filter(None, given):
+        for module in sorted(Path(folder).glob("*.py")):
+            runpy.run_path(str(module), run_name=module.stem)
+    return dict(_made)
 
 
-class OnnxWorker(Worker):
-    """The worker of ONNX networks with two inputs."""
+def onnx(path: str, scale: int) -> Predictor:
+    """The worker of models without one: an ONNX network with two inputs, at its own scale."""
+    return OnnxPredictor.of(path)
 
-    def predictor(self, scale: int) -> Predictor:
-        return OnnxPredictor(str(self.path), scale)
 
-
-def stem(version: str) -> str:
-    if not version:
-        raise ValueError("a version can't be empty")
-    return "".join(c if c.isalnum() or c == "_" else "_" for c in version)
-
-
-def folders(more: Iterable[str | os.PathLike] = ()) -> list[Path]:
-    """Folders of workers: given ones, then those in ``GRIDLOOM_WORKERS``."""
-    return [*map(Path, more), *(Path(p) for p in os.environ.get("GRIDLOOM_WORKERS", "").split(os.pathsep) if p)]
-
-
-def find(version: str, places: Iterable[str | os.PathLike]) -> Path | None:
-    """The module of a version's worker: by its replaced name, else by the version as it is."""
-    places = list(map(Path, places))
-    names = (stem(version), version)
-    return next((p / f"{n}.py" for n in names for p in places if (p / f"{n}.py").is_file()), None)
-
-
-def worker_class(version: str, places: Iterable[str | os.PathLike]) -> type[Worker]:
-    path = find(version, places)
-    if path is None:
-        raise FileNotFoundError(f"no worker for the model {version!r}")
-    name = f"_gridloom_worker_{stem(version)}"
-    spec = importlib.util.spec_from_file_location(name, path)
-    module = importlib.util.module_from_spec(spec)
-    sys.modules[name] = module
-    spec.loader.exec_module(module)
-    found = getattr(module, "ModelWorker", None)
-    if found is None:
-        raise AttributeError(f"{path} defines no ModelWorker")
-    if not (isinstance(found, type) and issubclass(found, Worker)):
-        raise TypeError(f"the ModelWorker of {path} is no Worker")
-    return found
+@contextlib.contextmanager
+def predictor(path: str | os.PathLike, scale: int, version: str | None = None, workers: dict[str, Maker] | None = None) -> Iterator[Predictor]:
+    """The predictor of a model's file; its ``close``, if it has one, is called in the end."""
+    file = Path(path).expanduser()
+    if not file.is_file():
+        raise FileNotFoundError(f"no model file at {file}")
+    made = (workers or {}).get(version or "", onnx)(str(file.resolve()), scale)
+    with contextlib.ExitStack() as stack:
+        if hasattr(made, "close"):
+            stack.callback(made.close)
+        yield made
