@@ -42,6 +42,12 @@ def _code(crs: str) -> int:
     return int(code)
 
 
+def is_projected(crs: str) -> bool:
+    """Whether coordinates are lengths. By its number, where the system isn't among those known here: 4000 to 4999 are degrees."""
+    code = _code(crs)
+    return code not in _GEOGRAPHIC and not 4000 <= code < 5000
+
+
 def _zone(code: int) -> tuple[float, float] | None:
     """Central meridian and false northing of a UTM zone's code."""
     for first, last, north in ((32601, 32660, 0.0), (32701, 32760, 1e7), (26901, 26923, 0.0), (25828, 25838, 0.0)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import align, metrics, normalize, predict, tiling
+from ..operators import arrays, metrics, predict, tiling
 from .relations import DEM, HR, LR, MAX_DEPTH, NODATA, PAIRS, UNIT, WIDTH, ZERO, S, dem, hr, lr, pairs, query, snap, table
 
 TILE, OVERLAP = 32, 8
@@ -86,12 +86,6 @@ def hard_mosaic(spark, sf_dir):
     return tiling.hard_mosaic(tiles, "px", 8).select("r", "c", snap(F.col("v").cast("double")).alias("v"))
 
 
-def _gather(cells, value, side, total_h, total_w):
-    """Hard tiles of ``side`` over the padded grid."""
-    keyed = cells.select(F.expr(f"r div {side}").alias("ty"), F.expr(f"c div {side}").alias("tx"), F.expr(f"r % {side}").alias("i"), F.expr(f"c % {side}").alias("j"), value)
-    return predict.gather_tiles(keyed, value, side, ("ty", "tx"))
-
-
 _CHIPS = (
     "e AS (SELECT vec_id, unnest(range(0, 64)) AS i, least(greatest(unnest(embedding)::DOUBLE, 0), 1) AS v FROM embeddings), "
     "p AS (SELECT vec_id, r, c, least(greatest((r + 0.5) / 2 - 0.5, 0), 7) AS y, least(greatest((c + 0.5) / 2 - 0.5, 0), 7) AS x FROM (SELECT DISTINCT vec_id FROM e), range(16) a(r), range(16) b(c)), "
@@ -109,30 +103,17 @@ def predict_tiles(spark, sf_dir):
     return out.groupBy("vec_id").agg(F.count("*").alias("n"), snap(F.sum("v")).alias("total"), snap(F.max("v")).alias("top"), snap(F.sum(F.col("v") * F.col("i"))).alias("moment"))
 
 
-def super_resolve(depth, dem_cells, scale: int, tile: int, overlap: int, max_depth: float, nodata: float | None, predictor=None, percent: float = 95.0):
-    """r, c and depth of the fine grid from coarse depths (r, c, v) and elevations (r, c, z).
+def super_resolve(depth, dem_cells, scale: int, tile: int, overlap: int, max_depth: float, nodata: float | None, predictor=None, percent: float = 95.0, blend_depths: bool = True):
+    """r, c and depth of the fine grid from coarse depths (r, c, v) and elevations (r, c, z) that begin at the same corner.
 
-    Depths become logarithmic units; both grids are padded with zeros to whole coarse tiles and cut into windows of
-    ``tile`` coarse cells that overlap by ``overlap``; elevations are normalised in each window; the predictor maps
-    windows to fine depths; feathered windows are blended, cropped to the terrain and cleared of films of water.
+    ``arrays.super_resolve`` on grids with ``scale`` fine cells a coarse one, as far as the elevations reach.
     """
-    predictor = predictor or predict.BilinearPredictor(scale)
-    fine, fine_overlap = tile * scale, overlap * scale
     height, width = _shape(dem_cells)
-    unit = depth.select("r", "c", scalar.depth_to_unit(scalar.nodata_to_zero(F.col("v"), nodata), max_depth).alias("u"))
-    low, high = align.pad_grid(unit, ["u"], tile), align.pad_grid(dem_cells, ["z"], fine)
-    padded = (-(-height // fine) * fine, -(-width // fine) * fine)
-    windows = tiling.window_origins(depth.sparkSession, *padded, fine, tiling.stride_of(fine, fine_overlap))
-    z = tiling.covering_windows(high, windows, fine)
-    z = normalize.normalize_tiles(z, "z", ("y0", "x0"), percent).select("y0", "x0", (F.col("r") - F.col("y0")).alias("i"), (F.col("c") - F.col("x0")).alias("j"), F.col("z_unit").alias("dem"))
-    coarse = windows.select(F.expr(f"y0 div {scale}").alias("y0"), F.expr(f"x0 div {scale}").alias("x0"))
-    u = tiling.covering_windows(low, coarse, tile).select((F.col("y0") * scale).alias("y0"), (F.col("x0") * scale).alias("x0"), (F.col("r") - F.col("y0")).alias("i"), (F.col("c") - F.col("x0")).alias("j"), F.col("u").alias("depth"))
-    tiles = predict.gather_tiles(u, "depth", tile).join(predict.gather_tiles(z, "dem", fine), ["y0", "x0"])
-    predicted = predict.predict_tiles(tiles, predictor, "depth", "dem", tile).join(windows, ["y0", "x0"])
-    cells = predicted.select("y0", "x0", "first_y", "last_y", "first_x", "last_x", F.posexplode("px").alias("k", "v"))
-    cells = cells.withColumns({"r": F.col("y0") + F.expr(f"k div {fine}"), "c": F.col("x0") + F.col("k") % fine})
-    blended = align.crop(tiling.feather_blend(tiling.weighted(cells, fine, fine_overlap), "v"), height, width)
-    return blended.select("r", "c", scalar.mask_dry(scalar.unit_to_depth(F.col("v"), max_depth), max_depth).alias("depth"))
+    fine = arrays.Grid(height, width, arrays.Axis(0.0, 1.0), arrays.Axis(0.0, 1.0))
+    coarse = arrays.Grid(-(-height // scale), -(-width // scale), arrays.Axis(0.0, float(scale)), arrays.Axis(0.0, float(scale)))
+    low = depth.select("r", "c", scalar.nodata_to_zero(F.col("v"), nodata).alias("v"))
+    out = arrays.super_resolve(low, dem_cells.select("r", "c", "z"), coarse, fine, predictor or predict.BilinearPredictor(scale), tile, overlap, max_depth, percent, blend_depths=blend_depths, group=8, block=128)
+    return arrays.cells_of(out, "depth")
 
 
 _FLAG_LOW = (
@@ -156,7 +137,7 @@ _FLAGSHIP = (
 
 @query(f"WITH {HR}, {_FLAG_LOW}, {_FLAG_WINDOWS}, {_FLAGSHIP} SELECT r // 16 AS br, c // 16 AS bc, count(*) AS n, {S('avg(CASE WHEN d < 1e-3 THEN 0 ELSE d END)')} AS mean_depth, {S('max(CASE WHEN d < 1e-3 THEN 0 ELSE d END)')} AS max_depth FROM d GROUP BY ALL")
 def superres_flagship(spark, sf_dir):
-    out = super_resolve(lr(spark, sf_dir).select("r", "c", "v"), dem(spark, sf_dir), SCALE, LOW, OVERLAP // SCALE, MAX_DEPTH, NODATA)
+    out = super_resolve(lr(spark, sf_dir).select("r", "c", "v"), dem(spark, sf_dir), SCALE, LOW, OVERLAP // SCALE, MAX_DEPTH, NODATA, blend_depths=False)
     return out.groupBy(F.expr("r div 16").alias("br"), F.expr("c div 16").alias("bc")).agg(F.count("*").alias("n"), snap(F.avg("depth")).alias("mean_depth"), snap(F.max("depth")).alias("max_depth"))
 
 

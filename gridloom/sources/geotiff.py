@@ -264,27 +264,34 @@ def encode(values: np.ndarray, a: float = 1.0, e: float = -1.0, c: float = 0.0,
     return out.getvalue()
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """raster_id (path), r, c, value of every cell of the files at ``path``; nodata is null."""
-    return decode_cells(spark.read.format("binaryFile").load(path).select(F.col("path").alias("raster_id"), "content"))
+def is_ranged(path: str) -> bool:
+    """Whether a path can be read by ranges of bytes: a shared folder's, or an HTTP address."""
+    return "://" not in path or path.startswith(("file://", "http://", "https://"))
 
 
-def _batch(name: str, y: int, x: int, block: np.ndarray, nodata: float | None) -> pa.RecordBatch:
+def read_cells(spark: SparkSession, path: str, keep_nan: bool = False) -> DataFrame:
+    """raster_id (path), r, c, value of every cell of the files at ``path``; nodata is null, and so is NaN unless it is kept."""
+    return decode_cells(spark.read.format("binaryFile").load(path).select(F.col("path").alias("raster_id"), "content"), keep_nan)
+
+
+def _batch(name: str, y: int, x: int, block: np.ndarray, nodata: float | None, keep_nan: bool = False) -> pa.RecordBatch:
     height, width = block.shape
     flat = block.ravel().astype(np.float64)
-    gone = np.isnan(flat) if nodata is None else np.isnan(flat) | (flat == nodata) | (flat == np.float32(nodata))
+    gone = np.isnan(flat) & (not keep_nan or (nodata is not None and np.isnan(nodata)))
+    if nodata is not None:
+        gone |= (flat == nodata) | (flat == np.float32(nodata))
     return pa.RecordBatch.from_arrays(
         [pa.array([name] * len(flat), pa.string()), pa.array(np.repeat(np.arange(y, y + height), width)), pa.array(np.tile(np.arange(x, x + width), height)), pa.array(flat, mask=gone)], ["raster_id", "r", "c", "value"]
     )
 
 
-def decode_cells(files: DataFrame) -> DataFrame:
+def decode_cells(files: DataFrame, keep_nan: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 nodata = header(content)["nodata"]
                 for y, x, block in blocks(content):
-                    yield _batch(name, y, x, block, nodata)
+                    yield _batch(name, y, x, block, nodata, keep_nan)
 
     return files.select("raster_id", "content").mapInArrow(run, CELLS)
 
@@ -301,7 +308,7 @@ def ranged_headers(paths: DataFrame) -> DataFrame:
     return paths.select("raster_id").mapInArrow(run, HEADERS)
 
 
-def ranged_cells(paths: DataFrame, parallel: int, within: Column | None = None) -> DataFrame:
+def ranged_cells(paths: DataFrame, parallel: int, within: Column | None = None, keep_nan: bool = False) -> DataFrame:
     """Cells of files (raster_id: a path that all tasks share, or an HTTP address) of any size, read by ranges of bytes.
 
     A file's strips or tiles are spread over ``parallel`` tasks. ``within``, over y, x, height and width of a block,
@@ -321,7 +328,7 @@ def ranged_cells(paths: DataFrame, parallel: int, within: Column | None = None)
         for batch in batches:
             for b in batch.to_pylist():
                 raw = Ranged(b["raster_id"])[b["place"] : b["place"] + b["count"]]
-                yield _batch(b["raster_id"], b["y"], b["x"], unpack(raw, b), b["nodata"])
+                yield _batch(b["raster_id"], b["y"], b["x"], unpack(raw, b), b["nodata"], keep_nan)
 
     numbers = ("y", "x", "height", "width", "stride", "place", "count", "compression", "predictor")
     kinds = pa.schema([("raster_id", pa.string()), ("nodata", pa.float64()), *((k, pa.int64()) for k in numbers), ("dtype", pa.string())])

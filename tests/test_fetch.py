@@ -124,21 +124,25 @@ def test_command_line_fetches(spark, tmp_path, service):
 def test_workers(tmp_path, monkeypatch):
     model = tmp_path / "m.onnx"
     model.write_bytes(b"w")
-    code = "from gridloom.operators.predict import BilinearPredictor\nfrom gridloom.operators.workers import Worker\nclass ModelWorker(Worker):\n    version = 'a.1'\n    def predictor(self, scale):\n        return BilinearPredictor(scale)\n"
-    (tmp_path / "a_1.py").write_text(code)
-    (tmp_path / "b.py").write_text("x = 1\n")
-    (tmp_path / "c.py").write_text("class ModelWorker:\n    pass\n")
-    found = workers.worker_class("a.1", [tmp_path / "none", tmp_path])
-    with found(model, "a.1") as w:
-        assert isinstance(w.predictor(4), BilinearPredictor) and w.version == "a.1"
-    for version, error in (("b", AttributeError), ("c", TypeError), ("d", FileNotFoundError), ("", ValueError)):
-        with pytest.raises(error):
-            workers.worker_class(version, [tmp_path])
-    with pytest.raises(ValueError):
-        found(model, "a.2")
-    with pytest.raises(FileNotFoundError):
-        found(tmp_path / "none.onnx")
-    with pytest.raises(NotImplementedError):
-        workers.Worker(model).predictor(2)
-    monkeypatch.setenv("GRIDLOOM_WORKERS", f"{tmp_path}")
-    assert workers.folders(["x"])[-1] == tmp_path
+    (tmp_path / "any_name.py").write_text("from gridloom.operators.predict import BilinearPredictor\nfrom gridloom.operators.workers import worker\n\n@worker('a.1')\ndef make(path, scale):\n    return BilinearPredictor(2 * scale)\n")
+    found = workers.known([tmp_path, tmp_path / "none"])
+    assert "a.1" in found and "b" not in found
+    with workers.predictor(model, 4, "a.1", found) as p:
+        assert isinstance(p, BilinearPredictor) and p.scale == 8
+    with pytest.raises(FileNotFoundError), workers.predictor(tmp_path / "none.onnx", 4, "a.1", found):
+        pass
+    with pytest.raises(ValueError), workers.predictor(model, 4):  # no network
+        pass
+    for bad in ("", " "):
+        with pytest.raises(ValueError):
+            workers.worker(bad)
+    with pytest.raises(TypeError):
+        workers.worker("c")(None)
+    monkeypatch.setattr(workers, "_made", {})
+    monkeypatch.setenv("GRIDLOOM_WORKERS", str(tmp_path))
+    assert set(workers.known()) == {"a.1"}
+    closed = []
+    shut = type("Shut", (), {"scale": 1, "close": lambda self: closed.append(1)})()
+    with workers.predictor(model, 1, "v", {"v": lambda path, scale: shut}) as p:
+        assert p is shut and not closed
+    assert closed == [1]

@@ -114,15 +114,15 @@ def test_parameters(tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     low = np.full((32, 32), 1.0)
     high = np.tile(np.linspace(500, 1000, 64), (64, 1))
-    (tmp_path / "low.tif").write_bytes(geotiff.encode(low, 2.0, -2.0))
-    (tmp_path / "dem.tif").write_bytes(geotiff.encode(high, 1.0, -1.0))
+    (tmp_path / "low.tif").write_bytes(geotiff.encode(low, 2.0, -2.0, crs="EPSG:32633"))
+    (tmp_path / "dem.tif").write_bytes(geotiff.encode(high, 1.0, -1.0, crs="EPSG:32633"))
     out = tmp_path / "out" / "sr.tif"
     assert cli.main(["tohr", "--in", str(tmp_path / "low.tif"), "--dem", str(tmp_path / "dem.tif"), "--out", str(out), "--tile-size", "16", "--tile-overlap", "4"]) == 0
     values, _ = geotiff.decode(out.read_bytes())
     assert values.shape == (64, 64) and np.allclose(values, 1.0, atol=1e-5) and capsys.readouterr().out.strip().endswith("sr.tif")
     assert cli.main(["tohr", "--in", str(tmp_path / "none.tif"), "--dem", str(tmp_path / "dem.tif")]) == 1
     (tmp_path / "there.tif").write_bytes(geotiff.encode(low, 2.0, -2.0, 300.0, 4000.0))
-    (tmp_path / "ground.tif").write_bytes(geotiff.encode(high, 1.0, -1.0, 300.0, 4000.0))
+    (tmp_path / "ground.tif").write_bytes(geotiff.encode(high, 1.0, -1.0, 300.0, 4000.0, crs="EPSG:32633"))
     assert cli.main(["tohr", "--in", str(tmp_path / "there.tif"), "--dem", str(tmp_path / "dem.tif"), "--out", str(out)]) == 1
     assert cli.main(["tohr", "--in", str(tmp_path / "there.tif"), "--dem", str(tmp_path / "ground.tif"), "--out", str(out), "--tile-size", "16", "--tile-overlap", "4"]) == 0
     assert {k: geotiff.header(out.read_bytes())[k] for k in "aecf"} == {"a": 1.0, "e": -1.0, "c": 300.0, "f": 4000.0}
