@@ -100,6 +100,15 @@ class Spans(NamedTuple):
             yield at, first[at] + d
 
 
+def runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of runs of equal rows of sorted columns of numbers from 0 up."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new |= np.diff(c, prepend=-1) != 0
+    at = np.flatnonzero(new).tolist()
+    return list(zip(at, [*at[1:], len(new)], strict=True)) if at else []
+
+
 def packed(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: Spans, columns: Spans) -> Iterator[pa.RecordBatch]:
     """Cells (r, c, value) as pieces of the targets that need them: ty, tx, places within the target, values."""
     names, held, size = ["ty", "tx", "at", "px"], [], 0
@@ -115,8 +124,8 @@ def packed(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: S
         y, x, place, px = (np.concatenate(a) for a in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
         order = np.lexsort((x, y))
         y, x, place, px = y[order], x[order], place[order].astype(np.int32), px[order].astype(np.float64)
-        cuts = np.flatnonzero((np.diff(y, prepend=-1) != 0) | (np.diff(x, prepend=-1) != 0)).tolist()
-        parts = list(zip(cuts, [*cuts[1:], len(y)], strict=True))
+        parts = runs(y, x)
+        cuts = [a for a, _ in parts]
         return pa.RecordBatch.from_arrays([pa.array(y[cuts], pa.int32()), pa.array(x[cuts], pa.int32()), pa.array([place[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([px[a:b].tobytes() for a, b in parts], pa.binary())], names)
 
     for r, c, v in batches:

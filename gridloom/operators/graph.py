@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stash, unstash
+from . import chessboard
 from .components import components
 
 #: Cells along a tile's side.
@@ -188,8 +189,19 @@ def geodesic_distance(cells: DataFrame, seed: str, limit: float | None = None, t
 def nearest_fill(cells: DataFrame, value: str, limit: int | None = None, tile: int = TILE) -> DataFrame:
     """r, c, value and distance: the value of the nearest cell that has one, by chessboard distance over the given cells.
 
-    Of equally near ones the first in (row, column) order; without ``limit`` however far. Odd rows count as in ``allocate``.
+    Of equally near ones the first in (row, column) order; without ``limit`` however far. Odd rows count as in
+    ``allocate``. Where the cells fill a rectangle, ways around gaps can't occur, and ``chessboard.nearest`` has no rounds.
     """
+    number = lambda k: F.col(k).cast("long")
+    extent = cells.where("r is not null and c is not null").agg(F.min(number("r")), F.max(number("r")), F.min(number("c")), F.max(number("c")), F.count("*")).first()
+    top, bottom, left, right, count = extent
+    if not count:
+        return cells.select("r", "c", F.col(value).cast("double").alias(value), F.lit(0.0).alias("distance")).limit(0)
+    height, width = bottom - top + 1, right - left + 1
+    if count == height * width and cells.where("r is not null and c is not null").select(number("r"), number("c")).distinct().count() == count:
+        moved = cells.where("r is not null and c is not null").select((number("r") - top).alias("r"), (number("c") - left).alias("c"), F.col(value).cast("double").alias(value))
+        found = chessboard.nearest(moved, value, height, width, limit)
+        return found.select((F.col("r") + top).alias("r"), (F.col("c") + left).alias("c"), value, "distance")
     marked = cells.select("r", "c", F.lit(1.0).alias("cost"), F.col(value).alias("seed"))
     return allocate(marked, "cost", "seed", limit, geometric=False, tile=tile).select("r", "c", F.col("value").alias(value), "distance")
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import graph, growth
+from gridloom.operators import chessboard, graph, growth
 
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
@@ -61,6 +61,42 @@ def test_distances_and_nearest(spark):
         assert r.distance == near <= 5 and r.v in {float(a + b) for a, b in seeds if max(abs(r.r - a), abs(r.c - b)) == near}
 
 
+def nearest_by_hand(values, limit=None):
+    held = [(r, c) for r, c in np.argwhere(~np.isnan(values)).tolist()]
+    out = {}
+    for r in range(values.shape[0]):
+        for c in range(values.shape[1]):
+            if held:
+                d, s = min((max(abs(r - a), abs(c - b)), (a, b)) for a, b in held)
+                if limit is None or d <= limit:
+                    out[r, c] = (d, s, values[s])
+    return out
+
+
+@pytest.mark.parametrize("band", [1, 40, 1 << 20])
+def test_nearest_without_rounds(spark, monkeypatch, band):
+    monkeypatch.setattr(chessboard, "BAND", band)
+    g = np.random.default_rng(7)
+    for share, shape, limit in ((0.02, (31, 17), None), (0.3, (9, 40), 2), (0.004, (40, 23), 6), (1.0, (3, 3), None), (0.1, (1, 30), None), (0.1, (30, 1), None), (0.0, (4, 4), None)):
+        values = np.where(g.random(shape) < share, g.integers(0, 9, shape).astype(float), math.nan)
+        rows = [(r, c, None if math.isnan(values[r, c]) else float(values[r, c]), "x") for r in range(shape[0]) for c in range(shape[1])]
+        df = spark.createDataFrame(rows, "r long, c long, v double, value string")
+        got = {(r.r, r.c): (r.distance, (r.src_r, r.src_c), r.v) for r in chessboard.nearest(df, "v", *shape, limit).collect()}
+        assert got == nearest_by_hand(values, limit)
+
+
+def test_nearest_over_gaps_and_rectangles(spark):
+    """The plan of a rectangle has no rounds; a gap, which ways must go around, brings them back. Results agree."""
+    g = np.random.default_rng(8)
+    values = np.where(g.random((12, 15)) < 0.05, 1.0 + g.integers(0, 5, (12, 15)), math.nan)
+    cells = [(r - 3, c + 5, None if math.isnan(values[r, c]) else float(values[r, c])) for r in range(12) for c in range(15)]
+    df = spark.createDataFrame([*cells, (None, 1, 2.0)], "r int, c int, v double")
+    want = {(r - 3, c + 5): (d, v) for (r, c), (d, _, v) in nearest_by_hand(values).items()}
+    assert {(r.r, r.c): (r.distance, r.v) for r in graph.nearest_fill(df, "v").collect()} == want
+    again = spark.createDataFrame([*cells, cells[-1]], "r int, c int, v double")
+    assert {(r.r, r.c): (r.distance, r.v) for r in graph.nearest_fill(again, "v", tile=6).collect()} == want
+
+
 def flood(wet):
     labels, seen = {}, set()
     for start in sorted(wet):
