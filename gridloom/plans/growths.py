@@ -24,6 +24,17 @@ def spread_sql(name: str, cells: str, geometric: bool = True) -> str:
     )
 
 
+def edged_sql(name: str, cells: str) -> str:
+    """``spread_sql`` with the steps between cells as a table of its own, which the second engine copes with on more cells."""
+    length = "CASE WHEN i <> 0 AND j <> 0 THEN sqrt(2) ELSE 1 END"
+    return (
+        f"{name}_steps AS MATERIALIZED (SELECT o.r, o.c, n.r AS tr, n.c AS tc, (o.cost + n.cost) / 2 * {length} AS w FROM {cells} o, range(-1, 2) a(i), range(-1, 2) b(j), {cells} n WHERE n.r = o.r + i AND n.c = o.c + j AND o.cost IS NOT NULL AND n.cost IS NOT NULL), "
+        f"{name}(r, c, d, sr, sc, v) USING KEY (r, c) AS (SELECT r, c, 0::DOUBLE, r, c, seed FROM {cells} WHERE seed IS NOT NULL AND cost IS NOT NULL UNION "
+        "(SELECT r, c, x.d, x.sr, x.sc, x.v FROM (SELECT e.tr AS r, e.tc AS c, min({'d': s.d + e.w, 'sr': s.sr, 'sc': s.sc, 'v': s.v}) AS x "
+        f"FROM {name} s JOIN {name}_steps e ON e.r = s.r AND e.c = s.c GROUP BY e.tr, e.tc) y LEFT JOIN recurring.{name} k USING (r, c) WHERE k.d IS NULL OR (x.d, x.sr, x.sc) < (k.d, k.sr, k.sc)))"
+    )
+
+
 def labels_sql(name: str, cells: str) -> str:
     """CTE of the 4-connected components of ``cells`` (r, c): r, c, label."""
     return (
@@ -105,18 +116,17 @@ def _finer_sql(cells: str) -> str:
     )
 
 
-#: The same growth in SQL, on few cells; the second engine fails internally on sf0.01, so that it is no oracle there.
 COSTGROW_SQL = (
     f"WITH RECURSIVE {DEM}, w AS (SELECT r, c, 1 AS cost, CASE WHEN v <> {NODATA} AND v >= {WET} THEN v * 40 END AS seed FROM lr), ws AS (SELECT r, c, seed AS v FROM w), {spread_sql('full_', 'w', False)}, "
     f"up AS ({_finer_sql('ws')}), smooth AS ({_finer_sql('full_')}), cells AS (SELECT r, c, z, CASE WHEN up.v > z THEN up.v END AS anchor, smooth.v AS s FROM dem LEFT JOIN up USING (r, c) LEFT JOIN smooth USING (r, c)), "
-    f"flat AS (SELECT r, c, 1 AS cost, anchor AS seed FROM cells), rough AS (SELECT r, c, CASE WHEN s - z > 0 THEN 1 ELSE 1 + abs(s - z) END AS cost, anchor AS seed FROM cells), {spread_sql('near', 'flat', False)}, {spread_sql('reach', 'rough')}, "
+    f"flat AS (SELECT r, c, 1 AS cost, anchor AS seed FROM cells), rough AS (SELECT r, c, CASE WHEN s - z > 0 THEN 1 ELSE 1 + abs(s - z) END AS cost, anchor AS seed FROM cells), {spread_sql('near', 'flat', False)}, {edged_sql('reach', 'rough')}, "
     "wet AS (SELECT r, c, z, anchor, coalesce(anchor, CASE WHEN near.d < 20 AND reach.v - near.d * 0.001 > z THEN reach.v - near.d * 0.001 END) AS wse FROM cells LEFT JOIN near USING (r, c) LEFT JOIN reach USING (r, c)), "
     f"kept AS (SELECT * FROM wet WHERE wse IS NOT NULL), {labels_sql('parts', 'kept')} SELECT r, c, {S('wse')} AS wse, {S('wse - z')} AS depth, CASE WHEN anchor IS NULL THEN 'grown' ELSE 'anchor' END AS phase "
     "FROM kept JOIN parts USING (r, c) WHERE label IN (SELECT label FROM parts JOIN kept USING (r, c) WHERE anchor IS NOT NULL)"
 )
 
 
-@query()
+@query(COSTGROW_SQL)
 def costgrow(spark, sf_dir):
     coarse, fine = _surfaces(spark, sf_dir)
     out = growth.grow(coarse, fine, 2, _height(coarse), WIDTH)
