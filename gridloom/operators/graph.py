@@ -20,7 +20,7 @@ from . import chessboard
 from .components import components
 
 #: Cells along a tile's side.
-TILE = 128
+TILE = 256
 #: Sources are numbered by row and column, so that the first in that order is the least; none is more than all.
 _ROW, _COLUMN, _NONE = 1 << 32, 1 << 31, (1 << 63) - 1
 _AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
@@ -186,11 +186,12 @@ def geodesic_distance(cells: DataFrame, seed: str, limit: float | None = None, t
     return allocate(marked, "cost", "seed", limit, tile=tile).select("r", "c", "distance")
 
 
-def nearest_fill(cells: DataFrame, value: str, limit: int | None = None, tile: int = TILE) -> DataFrame:
+def nearest_fill(cells: DataFrame, value: str, limit: int | None = None, tile: int = TILE, distinct: bool = False) -> DataFrame:
     """r, c, value and distance: the value of the nearest cell that has one, by chessboard distance over the given cells.
 
     Of equally near ones the first in (row, column) order; without ``limit`` however far. Odd rows count as in
     ``allocate``. Where the cells fill a rectangle, ways around gaps can't occur, and ``chessboard.nearest`` has no rounds.
+    ``distinct`` says that no row repeats a cell, which is looked at otherwise.
     """
     number = lambda k: F.col(k).cast("long")
     extent = cells.where("r is not null and c is not null").agg(F.min(number("r")), F.max(number("r")), F.min(number("c")), F.max(number("c")), F.count("*")).first()
@@ -198,7 +199,7 @@ def nearest_fill(cells: DataFrame, value: str, limit: int | None = None, tile: i
     if not count:
         return cells.select("r", "c", F.col(value).cast("double").alias(value), F.lit(0.0).alias("distance")).limit(0)
     height, width = bottom - top + 1, right - left + 1
-    if count == height * width and cells.where("r is not null and c is not null").select(number("r"), number("c")).distinct().count() == count:
+    if count == height * width and (distinct or cells.where("r is not null and c is not null").select(number("r"), number("c")).distinct().count() == count):
         moved = cells.where("r is not null and c is not null").select((number("r") - top).alias("r"), (number("c") - left).alias("c"), F.col(value).cast("double").alias(value))
         found = chessboard.nearest(moved, value, height, width, limit)
         return found.select((F.col("r") + top).alias("r"), (F.col("c") + left).alias("c"), value, "distance")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import depth_of, grown_surface, merge_growth, terrain_cost, wet_partial
 from ..sources.storage import stash
-from .align import resample_bilinear, scale_join
+from . import arrays, graph
+from .align import scale_join
 from .graph import keep_anchored, nearest_fill
-from . import graph
+
+#: Side of the blocks that are resampled at once.
+BLOCK = 256
 
 
 def grow(coarse: DataFrame, dem: DataFrame, scale: int, height: int, width: int, coarse_limit: float | None = 10, decay: float = 0.001, pixel: float = 1.0) -> DataFrame:
@@ -23,12 +26,19 @@ def grow(coarse: DataFrame, dem: DataFrame, scale: int, height: int, width: int,
     give an empty result; cells must be distinct; other columns are left aside.
     """
     limit = None if coarse_limit is None else coarse_limit * scale
-    surface = resample_bilinear(coarse, "wse", scale, height, width)
+    finer = arrays.Grid(height * scale, width * scale, arrays.Axis(0.0, 1 / scale), arrays.Axis(0.0, 1 / scale))
+
+    def resampled(surface: DataFrame) -> DataFrame:
+        """Bilinear, from the cells that have a value."""
+        whole = arrays.tile_arrays(surface, "wse", height, width, BLOCK)
+        return arrays.cells_of(arrays.resample_arrays(whole, arrays.Grid(height, width), finer, BLOCK), "wse").where(~F.isnan("wse"))
+
+    surface = resampled(coarse)
     cells = dem.select("r", "c", "z").join(surface, ["r", "c"], "left")
     cells = stash(cells.select("r", "c", "z", wet_partial(F.col("wse"), F.col("z")).alias("anchor")))
-    near = nearest_fill(cells.select("r", "c", "anchor"), "anchor", limit).select("r", "c", F.col("distance").alias("steps"))
-    filled = nearest_fill(coarse.select("r", "c", "wse"), "wse")
-    smooth = resample_bilinear(filled, "wse", scale, height, width).withColumnRenamed("wse", "smooth")
+    near = nearest_fill(cells.select("r", "c", "anchor"), "anchor", limit, distinct=True).select("r", "c", F.col("distance").alias("steps"))
+    filled = nearest_fill(coarse.select("r", "c", "wse"), "wse", distinct=True)
+    smooth = resampled(filled).withColumnRenamed("wse", "smooth")
     priced = cells.join(smooth, ["r", "c"], "left").withColumn("cost", terrain_cost(F.coalesce("smooth", "z"), F.col("z")))
     reached = graph.allocate(priced, "cost", "anchor").select("r", "c", F.col("value").alias("source"))
     joined = cells.join(near, ["r", "c"], "left").join(reached, ["r", "c"], "left")
