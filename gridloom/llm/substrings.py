@@ -35,6 +35,9 @@ WINDOW = 20
 BUCKET_BYTES = 4 << 20, 32 << 20
 #: Least and most bytes of text whose windows share a group, about.
 GROUP_BYTES = 4 << 20, 64 << 20
+#: Text whose buckets, or whose windows' groups, share a partition, about, and most partitions. A partition's buckets and
+#: groups are its sort keys, and a task handles them one after the other: only the largest one is in memory.
+PARTITION_BYTES, PARTITIONS = 16 << 20, 10_000
 #: Documents looked at to bound a bucket, about.
 SAMPLES = 8
 #: Bytes from which a word's second hash isn't polynomial, so that no word has both hashes of another by its pattern.
@@ -291,6 +294,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     alike = 8 * math.isqrt(total)  # then a bucket has about ten windows for each group
     buckets, groups = (given or max(1, -(-total // min(max(least, alike), most))) for given, (least, most) in ((buckets, BUCKET_BYTES), (groups, GROUP_BYTES)))
+    partitions = min(PARTITIONS, -(-total // PARTITION_BYTES)) or 1
+    bucket_parts, group_parts = min(partitions, buckets), min(partitions, groups)
     bounds = _bounds(rows, total, buckets) if buckets > 1 else np.zeros(0, np.int64)
 
     def deal(batches):
@@ -300,13 +305,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
             place = np.where(known, np.searchsorted(bounds, keys, "right"), np.arange(len(keys)) % buckets)
             yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), *batch.columns], ["bucket", "key", "text"])
 
-    dealt = rows.mapInArrow(deal, "bucket int, key long, text string").repartition(buckets, "bucket")
+    dealt = rows.mapInArrow(deal, "bucket int, key long, text string").repartition(bucket_parts, "bucket")
 
     def posted(step: int, df: DataFrame) -> DataFrame:
-        return df.repartition(groups, "grp").groupBy("grp").applyInArrow(_counter(step), _REPLY)
+        return df.repartition(group_parts, "grp").groupBy("grp").applyInArrow(_counter(step), _REPLY)
 
     def meet(replies: DataFrame, run, schema: str) -> DataFrame:
-        return dealt.groupBy("bucket").cogroup(replies.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(run, schema)
+        return dealt.groupBy("bucket").cogroup(replies.repartition(bucket_parts, "bucket").groupBy("bucket")).applyInArrow(run, schema)
 
     shared = posted(1, dealt.groupBy("bucket").applyInArrow(_poster(window, groups), _POSTING))
     earlier = posted(2, meet(shared, _reposter(window, groups), _POSTING))
