@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DRY_DEPTH
@@ -64,7 +65,56 @@ def critical_success(pairs: DataFrame, reference: str, estimate: str, threshold:
     return pairs.agg((F.count_if(x & y) / F.count_if(x | y)).alias("csi"))
 
 
+#: Values that one task sorts to find a percentile, and relative accuracy of the sketches that lead to so few.
+SORTED, ACCURACY = 100_000, 10_000
+
+
+def exact_percentile(values: DataFrame, value: str, percent: float) -> float | None:
+    """The interpolated percentile of all values, None without any; nulls are left out.
+
+    Sketches bracket the two ranks in question, the values below the bracket are counted, and what lies within is
+    looked at again, until few values or equal ones are left: each pass is an aggregation with map-side states, and
+    leaves some 4 of ACCURACY values. No task holds more than SORTED of them.
+    """
+    share, v = percent / 100, F.col(value)
+    if not 0 <= share <= 1:
+        raise ValueError(f"percent must be from 0 to 100, not {percent}")
+    inside = values.select(v.cast("double").alias(value)).where(v.isNotNull())
+    n, low, high = inside.agg(F.count("*"), F.min(value), F.max(value)).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    ranks = sorted({math.floor(place), math.ceil(place)})
+    found: dict[int, float] = {}
+    for rank in ranks:  # two at most
+        part, size, below, a, b = inside, n, 0, low, high
+        while size > SORTED and a < b:
+            at = (rank - below) / max(1, size - 1)
+            ends = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
+            x, y = part.agg(F.percentile_approx(value, ends, ACCURACY)).first()[0]
+            under, within, lowest, highest = part.agg(F.count_if(v < x), F.count_if((v >= x) & (v <= y)), F.min(F.when((v >= x) & (v <= y), v)), F.max(F.when((v >= x) & (v <= y), v))).first()
+            if not under <= rank - below < under + within:  # a sketch off its accuracy: one side of it instead
+                x, y = (a, x) if rank - below < under else (y, b)
+                under, within, lowest, highest = part.agg(F.count_if(v < x), F.count_if((v >= x) & (v <= y)), F.min(F.when((v >= x) & (v <= y), v)), F.max(F.when((v >= x) & (v <= y), v))).first()
+            if within == size and (lowest, highest) == (a, b):  # few values, many times each
+                counts = part.groupBy(value).count()
+                if counts.count() > SORTED:
+                    raise ArithmeticError("the sketches don't narrow the values down")
+                part = counts
+                break
+            part, below, size, a, b = inside.where((v >= x) & (v <= y)), below + under, within, lowest, highest
+        if a == b:
+            found[rank] = a
+            continue
+        counts = part if "count" in part.columns else part.groupBy(value).count()
+        until = counts.select(value, F.sum("count").over(Window.orderBy(value)).alias("_until"))  # SORTED rows at most
+        found[rank] = until.where(F.col("_until") > rank - below).agg(F.min(value)).first()[0]
+    first, last = found[ranks[0]], found[ranks[-1]]
+    return first if len(ranks) == 1 else (ranks[1] - place) * first + (place - ranks[0]) * last
+
+
 def error_percentile(pairs: DataFrame, reference: str, estimates: Sequence[str], percent: float, least: float = 1e-6) -> DataFrame:
-    """Percentile of the absolute errors of several estimates together, ``least`` at least."""
+    """Percentile of the absolute errors of several estimates together, ``least`` at least; null without any."""
     stacked = pairs.select(F.explode(F.array(*(F.abs(F.col(e) - F.col(reference)) for e in estimates))).alias("e"))
-    return stacked.agg(F.greatest(F.percentile("e", percent / 100), F.lit(least)).alias("limit"))
+    limit = exact_percentile(stacked, "e", percent)
+    return pairs.sparkSession.createDataFrame([(None if limit is None else max(limit, least),)], "limit double")

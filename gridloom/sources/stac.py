@@ -16,25 +16,44 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import align
 from . import geotiff
+from .storage import stash, unstash
 
 #: The public catalogue of Canada's elevations.
 HRDEM = {"url": "https://datacube.services.geo.ca/stac/api/", "collection": "hrdem-mosaic-1m", "asset": "dtm"}
 PAGE = 200
 
 
+def _level(sides: list[Column], cell: float) -> Column:
+    """The least level, of cells of ``cell`` times a power of two, at which a box is no larger than a cell."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(*sides, F.lit(cell)) / cell))).cast("int")
+
+
 def overlapping(items: DataFrame, queries: DataFrame, asset: str, cell: float) -> DataFrame:
     """Items (xmin, ymin, xmax, ymax, assets map) that have ``asset`` and overlap a query box (qx0, qy0, qx1, qy1).
 
-    An equi-join on grid cells of side ``cell`` that a box touches, with the bounds as residual filter. Boxes out of
-    order raise; a box should be of the order of a cell, as it is listed under each it touches.
+    Boxes lie on levels by their size, each with cells twice as large as the one below. Two boxes meet on the level of
+    the larger one, where both touch four cells at most: an equi-join, with the bounds as residual filter, in which a
+    box has no more rows the larger it is. ``cell`` is the least level's side. Query bounds out of order raise; items
+    with null bounds overlap nothing; repeated items and queries do no harm.
     """
     ordered = F.assert_true((F.col("qx0") < F.col("qx1")) & (F.col("qy0") < F.col("qy1")), F.lit("query bounds out of order")).isNull()
-    touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
     usable = items.where(F.col("assets").isNotNull() & F.element_at("assets", F.lit(asset)).isNotNull())
-    listed = usable.withColumn("_gx", touched("xmin", "xmax")).withColumn("_gy", touched("ymin", "ymax"))
-    asked = queries.where(ordered).withColumn("_gx", touched("qx0", "qx1")).withColumn("_gy", touched("qy0", "qy1"))
-    inside = (F.col("xmin") < F.col("qx1")) & (F.col("xmax") > F.col("qx0")) & (F.col("ymin") < F.col("qy1")) & (F.col("ymax") > F.col("qy0"))
-    found = listed.join(asked, ["_gx", "_gy"]).where(inside).select("item_id").distinct()
+    boxes = usable.where(" and ".join(f"{k} is not null" for k in ("xmin", "ymin", "xmax", "ymax"))).select("item_id", "xmin", "ymin", "xmax", "ymax").withColumn("_own", _level([F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")], cell))
+    asked = queries.where(ordered).select("qx0", "qy0", "qx1", "qy1").withColumn("_own", _level([F.col("qx1") - F.col("qx0"), F.col("qy1") - F.col("qy0")], cell))
+    levels = [sorted(r[0] for r in side.select("_own").distinct().collect()) for side in (boxes, asked)]  # a handful
+
+    def listed(side: DataFrame, x: tuple[str, str], y: tuple[str, str], others: list[int], own: str) -> DataFrame:
+        """A box under the cells that it touches on its own level and on the other side's larger ones."""
+        above = F.filter(F.array(*(F.lit(k) for k in others)).cast("array<int>"), lambda k: k > F.col("_own"))
+        put = side.withColumn("_level", F.explode(F.concat(F.array("_own"), above)))
+        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("_level"))
+        touched = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+        return put.withColumn("_gx", touched(*x)).withColumn("_gy", touched(*y)).withColumnRenamed("_own", own)
+
+    left = listed(boxes, ("xmin", "xmax"), ("ymin", "ymax"), levels[1], "_item_level")
+    right = listed(asked, ("qx0", "qx1"), ("qy0", "qy1"), levels[0], "_query_level")
+    inside = (F.col("xmin") < F.col("qx1")) & (F.col("xmax") > F.col("qx0")) & (F.col("ymin") < F.col("qy1")) & (F.col("ymax") > F.col("qy0")) & (F.col("_level") == F.greatest("_item_level", "_query_level"))
+    found = left.join(right, ["_level", "_gx", "_gy"]).where(inside).select("item_id").distinct()
     return usable.join(found, "item_id", "left_semi")
 
 
@@ -132,10 +151,12 @@ def mosaic(spark: SparkSession, depth: str, paths: list[str], out: str, parallel
             wanted = near if wanted is None else wanted | near
     cells = geotiff.ranged_cells(heads, parallel or spark.sparkContext.defaultParallelism, wanted)
     merged = align.warp_mosaic(cells, rasters, grid)
+    nodata = spark.range(1).select(chosen_nodata(F.lit(low["nodata"]), F.lit(first["nodata"]))).first()[0]
+    merged = stash(merged)
     if merged.isEmpty():
         raise LookupError("the elevations have no valid cell on the depths' extent")
-    nodata = spark.range(1).select(chosen_nodata(F.lit(low["nodata"]), F.lit(first["nodata"]))).first()[0]
     geotiff.write_raster(merged, "value", out, height, width, nodata, grid["a"], grid["e"], left, top, grid["crs"])
+    unstash(merged)
     for cached in (rasters, heads):
         cached.unpersist()
     return out

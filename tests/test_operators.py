@@ -233,3 +233,20 @@ def test_numbered_over_blocks(spark):
     cells = spark.createDataFrame([(r, c) for r in (0, 1, 4, 5, 9, 20) for c in range(r % 4 + 1)], "r long, c long")
     got = tiling.numbered(cells, "n", block=3).orderBy("r", "c").collect()
     assert [row.n for row in got] == list(range(1, len(got) + 1)) and tiling.numbered(cells.limit(0), "n").count() == 0
+
+
+def test_percentiles_narrow_down(spark, monkeypatch):
+    """Against numpy: spread, skewed, repeated and few values, with hardly any sorted at once."""
+    from gridloom.operators import metrics
+
+    g = np.random.default_rng(11)
+    cases = {"spread": g.random(5000), "skewed": 10.0 ** g.uniform(-300, 300, 3000), "few": g.integers(0, 3, 4000).astype(float), "mixed": np.concatenate([np.zeros(3000), g.random(1000)]), "one": np.array([2.5]), "two": np.array([1.0, 4.0]), "signs": g.normal(size=3001)}
+    monkeypatch.setattr(metrics, "ACCURACY", 50)
+    for name, values in cases.items():
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "e double").repartition(5)
+        for most, percent in ((3, 98), (200, 37.5)) if name != "mixed" else ((3, 0), (3, 100), (200, 75)):
+            monkeypatch.setattr(metrics, "SORTED", most)
+            assert metrics.exact_percentile(df, "e", percent) == pytest.approx(np.percentile(values, percent), rel=1e-12), (name, most, percent)
+    assert metrics.exact_percentile(df.where("e is null"), "e", 50) is None
+    with pytest.raises(ValueError):
+        metrics.exact_percentile(df, "e", 101)

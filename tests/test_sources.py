@@ -138,6 +138,25 @@ def test_footprints(spark):
     assert (layout.width, layout.height) == (5, 3)
 
 
+def test_footprints_of_all_sizes(spark, monkeypatch):
+    """Against all pairs; a box round the world has four rows a level at most."""
+    g = np.random.default_rng(12)
+
+    def boxes(n):
+        size = 2.0 ** g.uniform(-4, 9, (n, 2))
+        low = g.uniform(-180, 180, (n, 2))
+        return [(k, *map(float, (*low[k], *(low[k] + size[k])))) for k in range(n)]
+
+    made = [*boxes(300), (300, -180.0, -90.0, 180.0, 90.0), (301, 1.0, 1.0, 1.0, 1.0), (302, None, 0.0, 1.0, 1.0)]
+    items = spark.createDataFrame([(*b, {"dtm": "x"}) for b in made] + [(*made[0], {"dtm": "x"})], "item_id long, xmin double, ymin double, xmax double, ymax double, assets map<string, string>")
+    asked = [b[1:] for b in boxes(6)]
+    queries = spark.createDataFrame([*asked, asked[0]], "qx0 double, qy0 double, qx1 double, qy1 double")
+    want = sorted({b[0] for b in made if b[1] is not None and any(b[1] < q[2] and b[3] > q[0] and b[2] < q[3] and b[4] > q[1] for q in asked)})
+    for cell in (0.01, 1.0, 1000.0):
+        assert sorted({r.item_id for r in stac.overlapping(items, queries, "dtm", cell).collect()}) == want
+    assert stac.overlapping(items.limit(0), queries, "dtm", 1.0).count() == 0 and stac.overlapping(items, queries.limit(0), "dtm", 1.0).count() == 0
+
+
 def test_stash_prunes(spark):
     back = stash(spark.range(10).select("id", (F.col("id") % 3).alias("k")), ("k",))
     assert back.where("k = 1").count() == 3 and "PartitionFilters: [isnotnull(k" in back.where("k = 1")._jdf.queryExecution().executedPlan().toString()
