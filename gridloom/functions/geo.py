@@ -1,7 +1,7 @@
 """Coordinate systems as column formulas: geographic, Mercator, transverse Mercator (UTM) and conformal conic.
 
-Series on the ellipsoid, good to well below a millimetre within a zone. Datums aren't shifted: WGS 84, NAD 83 and
-their likes count as one, and systems on older datums raise.
+Series on the ellipsoid, good to well below a millimetre within a zone. WGS 84, NAD 83 and their likes count as one
+datum; older ones are shifted to it by seven parameters, at height 0. Systems that aren't known here raise.
 """
 
 from __future__ import annotations
@@ -56,10 +56,59 @@ def _zone(code: int) -> tuple[float, float] | None:
     return None
 
 
-def _series() -> tuple[float, list[float], list[float]]:
+@dataclass(frozen=True)
+class Ellipsoid:
+    axis: float
+    flattening: float
+
+    @property
+    def eccentricity(self) -> float:
+        return math.sqrt(self.flattening * (2 - self.flattening))
+
+
+GRS80 = Ellipsoid(AXIS, FLATTENING)
+
+
+@dataclass(frozen=True)
+class Shift:
+    """Seven parameters from a datum to WGS 84: metres, seconds of arc (positions turn), parts per million."""
+
+    x: float
+    y: float
+    z: float
+    turn_x: float
+    turn_y: float
+    turn_z: float
+    scale: float
+
+    def rows(self) -> tuple[list[float], list[list[float]]]:
+        """Translation and the matrix of the turn and the scale."""
+        a, b, c = (math.radians(t / 3600) for t in (self.turn_x, self.turn_y, self.turn_z))
+        m = 1 + self.scale * 1e-6
+        return [self.x, self.y, self.z], [[m, -m * c, m * b], [m * c, m, -m * a], [-m * b, m * a, m]]
+
+
+@dataclass(frozen=True)
+class Transverse:
+    """A transverse Mercator; latitude and longitude of its origin in degrees."""
+
+    ellipsoid: Ellipsoid
+    latitude: float
+    longitude: float
+    factor: float
+    east: float
+    north: float
+    shift: Shift | None = None
+
+
+#: Luxembourg's grid on the International ellipsoid of 1924, and its datum's shift.
+TRANSVERSE = {2169: Transverse(Ellipsoid(6378388.0, 1 / 297.0), 49 + 50 / 60, 6 + 10 / 60, 1.0, 80000.0, 100000.0, Shift(-189.681, 18.3463, -42.7695, -0.33746, -3.09264, 2.53861, 0.4598))}
+
+
+def series(ellipsoid: Ellipsoid = GRS80) -> tuple[float, list[float], list[float]]:
     """Rectifying radius and the coefficients of the transverse Mercator's two series, to the fourth power of n."""
-    n = FLATTENING / (2 - FLATTENING)
-    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    n = ellipsoid.flattening / (2 - ellipsoid.flattening)
+    radius = ellipsoid.axis / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     forth = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
     back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
     return radius, forth, back
@@ -68,15 +117,15 @@ def _series() -> tuple[float, list[float], list[float]]:
 ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
 
 
-def _conformal(latitude: Column) -> Column:
+def _conformal(latitude: Column, e: float = ECCENTRICITY) -> Column:
     """tan of the conformal latitude."""
     s = F.sin(latitude)
-    return F.sinh(F.atanh(s) - ECCENTRICITY * F.atanh(ECCENTRICITY * s))
+    return F.sinh(F.atanh(s) - e * F.atanh(e * s))
 
 
-def _geodetic(conformal: Column) -> Column:
+def _geodetic(conformal: Column, e: float = ECCENTRICITY) -> Column:
     """The latitude of a conformal latitude, by its series."""
-    e2, e4, e6, e8 = (ECCENTRICITY ** (2 * k) for k in range(1, 5))
+    e2, e4, e6, e8 = (e ** (2 * k) for k in range(1, 5))
     terms = (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520, 7 * e6 / 120 + 81 * e8 / 1120, 4279 * e8 / 161280)
     return sum((F.lit(t) * F.sin(2 * k * conformal) for k, t in enumerate(terms, 1)), conformal)
 
@@ -93,23 +142,66 @@ def cone(conic: Conic) -> tuple[float, float, float]:
 Step = Callable[[Column, Column], tuple[Column, Column]]
 
 
+def _shifted(here: Ellipsoid, there: Ellipsoid, translation: list[float], matrix: list[list[float]]) -> Step:
+    """Longitude and latitude in degrees on another datum, by way of the earth's centre; the height is 0."""
+
+    def step(lon: Column, lat: Column) -> tuple[Column, Column]:
+        east, north = F.radians(lon), F.radians(lat)
+        e2 = here.flattening * (2 - here.flattening)
+        normal = here.axis / F.sqrt(1 - e2 * F.sin(north) * F.sin(north))
+        at = normal * F.cos(north) * F.cos(east), normal * F.cos(north) * F.sin(east), normal * (1 - e2) * F.sin(north)
+        x, y, z = (sum((k * v for k, v in zip(row, at, strict=True)), F.lit(t)) for t, row in zip(translation, matrix, strict=True))
+        short, far = there.axis * (1 - there.flattening), F.sqrt(x * x + y * y)
+        # Bowring's formula, exact to a nanometre this near to the ground
+        reduced = F.atan2(z * there.axis, far * short)
+        e2, second = there.flattening * (2 - there.flattening), (there.axis / short) ** 2 - 1
+        up = z + second * short * F.pow(F.sin(reduced), 3)
+        return F.degrees(F.atan2(y, x)), F.degrees(F.atan2(up, far - e2 * there.axis * F.pow(F.cos(reduced), 3)))
+
+    return step
+
+
+def inverse_shift(shift: Shift) -> tuple[list[float], list[list[float]]]:
+    """Translation and matrix from WGS 84."""
+    translation, m = shift.rows()
+    size = sum(m[0][j] * (m[1][(j + 1) % 3] * m[2][(j + 2) % 3] - m[1][(j + 2) % 3] * m[2][(j + 1) % 3]) for j in range(3))
+    inverse = [[(m[(j + 1) % 3][(i + 1) % 3] * m[(j + 2) % 3][(i + 2) % 3] - m[(j + 1) % 3][(i + 2) % 3] * m[(j + 2) % 3][(i + 1) % 3]) / size for j in range(3)] for i in range(3)]
+    return [-sum(inverse[i][j] * translation[j] for j in range(3)) for i in range(3)], inverse
+
+
+def northing(t: Transverse) -> float:
+    """The origin's place along the central meridian, in radii."""
+    _, forth, _ = series(t.ellipsoid)
+    s, e = math.sin(math.radians(t.latitude)), t.ellipsoid.eccentricity
+    xi = math.atan(math.sinh(math.atanh(s) - e * math.atanh(e * s)))
+    return xi + sum(f * math.sin(2 * k * xi) for k, f in enumerate(forth, 1))
+
+
+def _transverse(code: int) -> Transverse | None:
+    if zone := _zone(code):
+        return Transverse(GRS80, 0.0, zone[0], 0.9996, 500000.0, zone[1])
+    return TRANSVERSE.get(code)
+
+
 def _from_degrees(code: int) -> list[Step]:
     """Steps from longitude and latitude in degrees to x and y."""
     if code in _GEOGRAPHIC:
         return []
     if code == 3857:
         return [lambda lon, lat: (F.radians(lon) * AXIS, F.asinh(F.tan(F.radians(lat))) * AXIS)]
-    if zone := _zone(code):
-        radius, forth, _ = _series()
+    if t := _transverse(code):
+        radius, forth, _ = series(t.ellipsoid)
+        origin = northing(t)
         return [
-            lambda lon, lat: (F.radians(lon - zone[0]), F.radians(lat)),
-            lambda east, phi: (east, _conformal(phi)),
+            *([_shifted(GRS80, t.ellipsoid, *inverse_shift(t.shift))] if t.shift else []),
+            lambda lon, lat: (F.radians(lon - t.longitude), F.radians(lat)),
+            lambda east, phi: (east, _conformal(phi, t.ellipsoid.eccentricity)),
             lambda east, tau: (F.asinh(F.sin(east) / F.sqrt(tau * tau + F.cos(east) * F.cos(east))), F.atan2(tau, F.cos(east))),
             lambda eta, xi: (
-                sum((F.lit(t) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, t in enumerate(forth, 1)), eta),
-                sum((F.lit(t) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, t in enumerate(forth, 1)), xi),
+                sum((F.lit(f) * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, f in enumerate(forth, 1)), eta),
+                sum((F.lit(f) * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, f in enumerate(forth, 1)), xi),
             ),
-            lambda x, y: (500000.0 + 0.9996 * radius * x, zone[1] + 0.9996 * radius * y),
+            lambda x, y: (t.east + t.factor * radius * x, t.north + t.factor * radius * (y - origin)),
         ]
     if conic := CONICS.get(code):
         n, factor, origin = cone(conic)
@@ -128,16 +220,18 @@ def _to_degrees(code: int) -> list[Step]:
     if code == 3857:
         return [lambda x, y: (F.degrees(x / AXIS), F.degrees(F.atan(F.sinh(y / AXIS))))]
     geodetic = lambda lon, conformal: (lon, F.degrees(_geodetic(conformal)))
-    if zone := _zone(code):
-        radius, _, back = _series()
+    if t := _transverse(code):
+        radius, _, back = series(t.ellipsoid)
+        origin = northing(t)
         return [
-            lambda x, y: ((x - 500000.0) / (0.9996 * radius), (y - zone[1]) / (0.9996 * radius)),
+            lambda x, y: ((x - t.east) / (t.factor * radius), (y - t.north) / (t.factor * radius) + origin),
             lambda u, v: (
-                u - sum((F.lit(t) * F.cos(2 * k * v) * F.sinh(2 * k * u) for k, t in enumerate(back, 1)), F.lit(0.0)),
-                v - sum((F.lit(t) * F.sin(2 * k * v) * F.cosh(2 * k * u) for k, t in enumerate(back, 1)), F.lit(0.0)),
+                u - sum((F.lit(b) * F.cos(2 * k * v) * F.sinh(2 * k * u) for k, b in enumerate(back, 1)), F.lit(0.0)),
+                v - sum((F.lit(b) * F.sin(2 * k * v) * F.cosh(2 * k * u) for k, b in enumerate(back, 1)), F.lit(0.0)),
             ),
-            lambda eta, xi: (zone[0] + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.asin(F.sin(xi) / F.cosh(eta))),
-            geodetic,
+            lambda eta, xi: (t.longitude + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.asin(F.sin(xi) / F.cosh(eta))),
+            lambda lon, conformal: (lon, F.degrees(_geodetic(conformal, t.ellipsoid.eccentricity))),
+            *([_shifted(t.ellipsoid, GRS80, *t.shift.rows())] if t.shift else []),
         ]
     if conic := CONICS.get(code):
         n, factor, origin = cone(conic)

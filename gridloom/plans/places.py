@@ -32,6 +32,37 @@ def reproject_bounds(spark, sf_dir):
     return out.select("s_suppkey", *(snap(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
 
 
+_LUX = geo.TRANSVERSE[2169]
+_BACK, _TURN = geo.inverse_shift(_LUX.shift)
+_RADIUS, _FORTH, _ = geo.series(_LUX.ellipsoid)
+_A, _E2, _LE = _LUX.ellipsoid.axis, _LUX.ellipsoid.eccentricity**2, _LUX.ellipsoid.eccentricity
+_B = _A * (1 - _LUX.ellipsoid.flattening)
+_TURNED = ", ".join(f"{_BACK[i]!r} + {_TURN[i][0]!r} * x + {_TURN[i][1]!r} * y + {_TURN[i][2]!r} * z AS {k}" for i, k in enumerate("xyz"))
+_ETA = " + ".join(["eta", *(f"{f!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, f in enumerate(_FORTH, 1))])
+_XI = " + ".join(["xi", *(f"{f!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, f in enumerate(_FORTH, 1))])
+_SHIFTED = (
+    "b AS (SELECT s_suppkey, 5.7 + (s_suppkey % 70) / 100.0 AS x0, 49.4 + (s_suppkey % 60) / 100.0 AS y0, 5.8 + (s_suppkey % 70) / 100.0 AS x1, 49.55 + (s_suppkey % 60) / 100.0 AS y1 FROM supplier), "
+    f"k AS (SELECT i / {geo.DENSIFY + 1.0} AS t FROM range({geo.DENSIFY + 2}) r(i)), "
+    "p AS (SELECT s_suppkey, x0 + (x1 - x0) * t AS lon, unnest([y0, y1]) AS lat FROM b, k UNION ALL SELECT s_suppkey, unnest([x0, x1]), y0 + (y1 - y0) * t FROM b, k), "
+    f"n AS (SELECT *, {geo.AXIS!r} / sqrt(1 - {geo.ECCENTRICITY**2!r} * sin(radians(lat)) * sin(radians(lat))) AS n FROM p), "
+    f"g AS (SELECT s_suppkey, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * (1 - {geo.ECCENTRICITY**2!r}) * sin(radians(lat)) AS z FROM n), "
+    f"h AS (SELECT s_suppkey, {_TURNED} FROM g), u AS (SELECT *, sqrt(x * x + y * y) AS far, atan2(z * {_A!r}, sqrt(x * x + y * y) * {_B!r}) AS u FROM h), "
+    f"l AS (SELECT s_suppkey, atan2(y, x) - radians({_LUX.longitude!r}) AS east, atan2(z + {(_A / _B) ** 2 - 1!r} * {_B!r} * pow(sin(u), 3), far - {_E2!r} * {_A!r} * pow(cos(u), 3)) AS phi FROM u), "
+    f"c AS (SELECT s_suppkey, east, sinh(atanh(sin(phi)) - {_LE!r} * atanh({_LE!r} * sin(phi))) AS tau FROM l), "
+    "m AS (SELECT s_suppkey, asinh(sin(east) / sqrt(tau * tau + cos(east) * cos(east))) AS eta, atan2(tau, cos(east)) AS xi FROM c), "
+    f"q AS (SELECT s_suppkey, {_LUX.east!r} + {_RADIUS!r} * ({_ETA}) AS x, {_LUX.north!r} + {_RADIUS!r} * ({_XI} - {geo.northing(_LUX)!r}) AS y FROM m)"
+)
+
+
+@query(f"WITH {_SHIFTED} SELECT s_suppkey, {S('min(x)')} AS xmin, {S('min(y)')} AS ymin, {S('max(x)')} AS xmax, {S('max(y)')} AS ymax FROM q GROUP BY s_suppkey")
+def shifted_bounds(spark, sf_dir):
+    """Boxes of degrees on another datum's grid."""
+    k = F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "supplier").select("s_suppkey", (5.7 + k % 70 / 100.0).alias("xmin"), (49.4 + k % 60 / 100.0).alias("ymin"), (5.8 + k % 70 / 100.0).alias("xmax"), (49.55 + k % 60 / 100.0).alias("ymax"))
+    out = geo.reproject_bounds(boxes, "EPSG:4326", "EPSG:2169")
+    return out.select("s_suppkey", *(snap(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+
+
 #: A grid of degrees, and a finer one in Mercator's metres inside it.
 _SOURCE = {"a": 0.01, "e": -0.01, "c": 10.0, "f": 50.0}
 _TARGET = {"height": 150, "width": 90, "a": 700.0, "e": -700.0, "c": math.radians(10.2) * geo.AXIS, "f": math.asinh(math.tan(math.radians(49.99))) * geo.AXIS, "crs": "EPSG:3857"}
