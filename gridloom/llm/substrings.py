@@ -37,7 +37,7 @@ BUCKET_BYTES = 4 << 20, 32 << 20
 GROUP_BYTES = 4 << 20, 64 << 20
 #: Text whose buckets, or whose windows' groups, share a partition, about, and most partitions. A partition's buckets and
 #: groups are its sort keys, and a task handles them one after the other: only the largest one is in memory.
-PARTITION_BYTES, PARTITIONS = 16 << 20, 10_000
+PARTITION_BYTES, PARTITIONS = 8 << 20, 10_000
 #: Documents looked at to bound a bucket, about.
 SAMPLES = 8
 #: Bytes from which a word's second hash isn't polynomial, so that no word has both hashes of another by its pattern.
