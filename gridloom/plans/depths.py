@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import align, normalize, validate
-from ..sources import stac
-from ..sources.storage import stash
-from .relations import DEM, HR, LR, MAX_DEPTH, NODATA, UNIT, ZERO, S, dem, hr, lr, query, snap, table
+from ..operators import align, arrays, normalize, validate
+from ..sources import rasters, stac
+from ..sources.storage import checkpoint_dir, stash
+from .relations import DEM, HR, LR, MAX_DEPTH, NODATA, UNIT, WIDTH, ZERO, S, dem, hr, lr, query, snap, table
 
 WSE = "wse AS (SELECT r, c, " + ZERO + " * 60 AS wse FROM hr)"
 
@@ -48,6 +50,16 @@ def bbox_window_read(spark, sf_dir):
     return align.read_window(lr(spark, sf_dir), *window).select("r", "c", snap("v").alias("v"))
 
 
+@query(f"WITH {LR} SELECT r - 3 AS r, c - 10 AS c, {S('CASE WHEN v <> -9999 THEN v::FLOAT::DOUBLE END')} AS v FROM lr WHERE r BETWEEN 3 AND 42 AND c BETWEEN 10 AND 69")
+def raster_window_read(spark, sf_dir):
+    """The grid written as a scene of tiles, and a window read back: only tiles in the window are opened."""
+    cells = lr(spark, sf_dir).select("r", "c", F.when(F.col("v") != NODATA, F.col("v")).alias("v"))
+    folder = f"{checkpoint_dir(spark).removeprefix('file:')}/scene-{uuid.uuid4().hex}"
+    rasters.write_scene(arrays.tile_arrays(cells, "v", _height(cells), WIDTH, 32), folder, a=2.0, e=-2.0, nodata=NODATA)
+    window = align.window_of_bounds((20.9, -86.4, 141.2, -7.1), 0.0, 0.0, 2.0)
+    return rasters.read_scene(spark, folder, *window).select("r", "c", snap("value").alias("v"))
+
+
 @query("SELECT n_regionkey::BIGINT AS region, greatest(1, ceil((max(n_nationkey) + 1 - min(n_nationkey)) / (1 + min(n_nationkey) % 3 + 0.25)))::BIGINT AS width, min(n_nationkey)::BIGINT AS first FROM nation GROUP BY n_regionkey")
 def mosaic_grid(spark, sf_dir):
     key = F.col("n_nationkey")

@@ -147,8 +147,8 @@ def _unpredicted(block: np.ndarray, predictor: int) -> np.ndarray:
     raise ValueError(f"predictor {predictor} of {block.dtype} isn't supported")
 
 
-def layout(data: bytes | Ranged) -> Iterator[dict]:
-    """Each strip or tile of a file: its place (y, x) and extent in cells, where its bytes lie, and how to decode them."""
+def layout(data: bytes | Ranged, only: Iterable[int] | None = None) -> Iterator[dict]:
+    """Each strip or tile of a file, or those of some numbers: its place (y, x) and extent in cells, where its bytes lie, and how to decode them."""
     order, t = _tags(data)
     width, height = t[_WIDTH][0], t[_HEIGHT][0]
     if t.get(_BANDS, (1,))[0] != 1:
@@ -162,11 +162,20 @@ def layout(data: bytes | Ranged) -> Iterator[dict]:
     else:
         tw, th, across = width, min(height, t.get(_ROWS, (height,))[0]), 1
         places, counts = t[_OFFSETS], t[_COUNTS]
-    for k, (place, count) in enumerate(zip(places, counts, strict=True)):
+    for k in range(len(places)) if only is None else only:
+        place, count = places[k], counts[k]
         y, x = k // across * th, k % across * tw
         yield {"y": y, "x": x, "height": min(th, height - y), "width": min(tw, width - x), "stride": tw, "place": place, "count": count, **how}
 
 
+def grid_of_blocks(data: bytes | Ranged) -> dict[str, int]:
+    """Rows (th) and columns (tw) of a file's blocks, and how many lie below and beside each other."""
+    t = _tags(data)[1]
+    width, height = t[_WIDTH][0], t[_HEIGHT][0]
+    tw, th = (t[_TILE_W][0], t[_TILE_H][0]) if _TILE_OFFSETS in t else (width, min(height, t.get(_ROWS, (height,))[0]))
+    return {"tw": tw, "th": th, "across": -(-width // tw), "down": -(-height // th)}
+
+
 def unpack(raw: bytes, block: dict) -> np.ndarray:
     """Values of a strip or tile from its bytes."""
     decompress = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 5: unlzw}.get(block["compression"])
@@ -337,7 +346,12 @@ def ranged_cells(paths: DataFrame, parallel: int, within: Column | None = None,
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """raster_id, height, width, a, e, c, f, nodata and crs of the files at ``path``."""
+    """raster_id, height, width, a, e, c, f, nodata and crs of the files at ``path``; where it can be read by ranges, from their tags alone."""
+    if is_ranged(path):
+        from .rasters import files_of
+
+        found = files_of(path)
+        return ranged_headers(spark.createDataFrame([(f,) for f in found], "raster_id string").repartition(max(1, min(len(found), 1000)), "raster_id"))
     return headers(spark.read.format("binaryFile").load(path).select(F.col("path").alias("raster_id"), "content"))
 
 
