@@ -33,6 +33,8 @@ INSIDE = 80
 DICTIONARY = 1 << 20
 #: Pointers combined at once, and pointers of a range that a task grows at once.
 POINTERS = 1 << 20
+#: Pointers of a range partition, about, and most partitions; a task grows them POINTERS at a time, however many they are.
+PARTITION_POINTERS, PARTITIONS = 1 << 19, 10_000
 #: Bytes from which a word's hashes aren't polynomial, as patterns of such words may collide.
 LONG_WORD = 64
 #: Language of documents without one.
@@ -244,7 +246,8 @@ def frequent_phrases(pointed: DataFrame, least: int, longest: int) -> DataFrame:
         if size:
             yield told(parts)
 
-    placed = pointed.repartitionByRange(*names).sortWithinPartitions(*names)
+    parts = max(int(pointed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pointed.count() // PARTITION_POINTERS))
+    placed = pointed.repartitionByRange(min(PARTITIONS, parts), *names).sortWithinPartitions(*names)
     return placed.mapInArrow(run, "p array<long>, n long").groupBy("p").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
 
 
