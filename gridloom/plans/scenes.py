@@ -14,7 +14,7 @@ from ..functions import geo
 from ..operators import arrays, validate
 from ..operators.normalize import check_stats
 from ..operators.predict import Predictor
-from ..sources import geotiff, registry
+from ..sources import ascii, geotiff, registry
 
 log = logging.getLogger("gridloom")
 
@@ -115,9 +115,15 @@ def place(spark: SparkSession, low: dict, high: dict) -> Placement:
     )
 
 
+def is_text(path: str) -> bool:
+    return path.lower().endswith(".asc")
+
+
 def read(spark: SparkSession, path: str, row: int, column: int, height: int, width: int) -> DataFrame:
-    """r, c and value of a window of a file, of which no other blocks are read; nodata is null, other NaN stays."""
-    if geotiff.is_ranged(path):
+    """r, c and value of a window of a file, of which no other blocks are read; nodata is null, other NaN stays (text has none)."""
+    if is_text(path):
+        cells = ascii.read_cells(spark, path)
+    elif geotiff.is_ranged(path):
         touched = (F.col("y") < row + height) & (F.col("y") + F.col("height") > row) & (F.col("x") < column + width) & (F.col("x") + F.col("width") > column)
         tasks = max(1, min(10_000, height * width // READ_CELLS + spark.sparkContext.defaultParallelism))
         cells = geotiff.ranged_cells(spark.createDataFrame([(path,)], "raster_id string"), tasks, touched, keep_nan=True)
@@ -128,6 +134,8 @@ def read(spark: SparkSession, path: str, row: int, column: int, height: int, wid
 
 
 def header(spark: SparkSession, path: str) -> dict:
+    if is_text(path):
+        return ascii.headers(spark, path).first().asDict()
     if geotiff.is_ranged(path):
         return geotiff.ranged_headers(spark.createDataFrame([(path,)], "raster_id string")).first().asDict()
     return geotiff.catalog(spark, path).first().asDict()
@@ -145,14 +153,18 @@ def super_resolve(spark: SparkSession, depth: str, dem: str, placed: Placement,
 
 
 def write(scene: DataFrame, placed: Placement, out: str) -> str:
-    """Writes tile arrays as one file, or, where ``out`` ends in a slash, as files of tiles; checks what was written."""
+    """Writes tile arrays as one file (text if it is named so), or, where ``out`` ends in a slash, as a scene of tiles; checks what was written."""
     cells = arrays.cells_of(scene, "depth")
     where = {"a": placed.fine.columns.step, "e": placed.fine.rows.step, "c": placed.fine.columns.origin, "f": placed.fine.rows.origin, "crs": placed.crs}
     if out.endswith("/"):
         log.info("%d tiles", geotiff.write_tiles(cells, "depth", out, **where).count())
         return out
-    geotiff.write_raster(cells, "depth", out, placed.fine.height, placed.fine.width, **where)
-    found = geotiff.header(geotiff.Ranged(out))
+    if is_text(out):
+        ascii.write_raster(cells, "depth", out, placed.fine.height, placed.fine.width, **{k: v for k, v in where.items() if k != "crs"})
+        found = header(scene.sparkSession, out)
+    else:
+        geotiff.write_raster(cells, "depth", out, placed.fine.height, placed.fine.width, **where)
+        found = geotiff.header(geotiff.Ranged(out))
     if (found["height"], found["width"]) != placed.fine[:2] or any(abs(found[k] - where[k]) > BOUNDS for k in "aecf"):
         raise ValueError(f"what was written to {out} has another extent or place")
     return out

@@ -438,7 +438,8 @@ def write_tiles(cells: DataFrame, value: str, folder: str, side: int = 1024, nod
     """Cells (r, c, value) as files of at most side x side cells, written by the executors into a folder they share.
 
     Returns path, tile_row, tile_col, height and width of each file. A file has its own corner and appears once it is
-    whole, so repeated tasks do no harm. Tiles without cells have no file; a tile reaches as far as its last cell.
+    whole, so repeated tasks do no harm. Tiles without cells have no file; a tile reaches as far as its last cell. Files
+    that the driver doesn't see afterwards, as the folder isn't shared, are an error.
     """
     Path(folder).mkdir(parents=True, exist_ok=True)
 
@@ -454,4 +455,8 @@ def write_tiles(cells: DataFrame, value: str, folder: str, side: int = 1024, nod
         return pa.table({"path": [to], **{k: pa.array([v], pa.int64()) for k, v in (("tile_row", y), ("tile_col", x), ("height", height), ("width", width))}})
 
     keys = (F.expr(f"r div {side}").alias("tile_row"), F.expr(f"c div {side}").alias("tile_col"))
-    return stash(_cells(cells, value).groupBy(*keys).applyInArrow(run, "path string, tile_row long, tile_col long, height long, width long"))
+    written = stash(_cells(cells, value).groupBy(*keys).applyInArrow(run, "path string, tile_row long, tile_col long, height long, width long"))
+    for row in written.select("path").toLocalIterator():
+        if not os.path.exists(row["path"]):
+            raise RuntimeError(f"executors wrote {row['path']}, which the driver doesn't see: the folder must be shared")
+    return written
