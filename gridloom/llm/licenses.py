@@ -75,6 +75,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Whole texts are read; null and empty ones have no words, empty label lists, null first and last words and score 0.
     ``detections`` is an array of (label, start, end, tier) in words, end exclusive. Repeated rows give equal rows;
     the other columns of ``docs`` are left aside.
+    An empty table gives an empty result.
     """
     kind = docs.schema[key].dataType.simpleString()
 

@@ -186,6 +186,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_m
 
     A null text is empty. The payload is the UTF-8 text with zero bytes up to a positive multiple of 64. Texts of
     any length are stored whole; repeated rows give the same values; other columns are left aside.
+    Rows that repeat are each read back, equal texts alike. An empty table gives an empty result.
     """
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["media"] if keep_media else [])]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.binary()] if keep_media else [])]

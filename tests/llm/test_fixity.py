@@ -49,3 +49,19 @@ def test_pages_with_nulls(spark):
     assert good.count() == 302 and good.agg(F.count_if(F.col("offset").isNull())).first()[0] == 0
     found = fixity.audit(good, fixity.damaged(pages))
     assert {r.status for r in found.collect()} <= {"corrupt", "missing", "extra"} and found.count() > 3
+
+
+def test_long_records_ties_and_clashing_columns(spark):
+    """A page of some megabytes, pages at one place, and columns named like those inside."""
+    long = "word " * 600_000
+    pages = spark.createDataFrame([(1, "u", long), (1, "u", "same id"), (1, "u", "same id"), (2, "u", ""), (3, None, long + "x")], "page_id long, url string, html string")
+    good = fixity.records(pages)
+    assert sorted(r.length for r in good.collect()) == [2, 9, 9, 3_000_002, 3_000_002]
+    assert fixity.audit(good, good).count() == 0
+    changed = fixity.records(pages.withColumn("html", F.when(F.col("page_id") == 3, F.lit(long + "y")).otherwise(F.col("html"))))
+    assert [(r.record, r.status) for r in fixity.audit(good, changed).collect()] == [(3, "corrupt")]
+    one = spark.createDataFrame([(0, 0, 5, "a", 1), (0, 0, 5, "a", 2), (0, 0, 5, "b", 3)], SCHEMA)  # ties: three records at one offset
+    less = spark.createDataFrame([(0, 0, 5, "a", 9), (0, 0, 5, "b", 3)], SCHEMA)
+    assert [(r.offset, r.status, r.primary_digest) for r in fixity.audit(one, less).collect()] == [(0, "missing", "a")]
+    clash = [x.withColumns({"node": F.lit("n"), "level": F.lit(9), "side": F.lit(True), "balance": F.lit(None).cast("int"), "parent": F.lit(1.5)}) for x in (good, changed)]
+    assert [(r.record, r.status) for r in fixity.audit(*clash).collect()] == [(3, "corrupt")]

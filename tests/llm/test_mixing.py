@@ -51,3 +51,14 @@ def test_overlapping_sources_and_edges(spark):
     assert mixing.mix(df.limit(0), "id", F.col("s"), "n").count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df, "id", F.col("s"), "n", max_patterns=2)
+
+
+def test_long_texts_and_clashing_columns(spark, documents):
+    """A text of a million words, and columns named like those inside and those that come out."""
+    docs = documents([(1, "w " * 1_000_000), (2, "a b c"), (3, None)], sources={1: "x", 2: "y"})
+    clash = docs.withColumns({k: F.lit("z") for k in ("size", "taken", "target", "source_size", "pattern", "id", "n", "s", "rank")})
+    got = {r.doc_id: r for r in mixing.mix_documents(clash).collect()}
+    assert got[1].size == 1_000_000 and got[1].source_size == 1_000_000 and got[3].size == 0 and got[3].taken == 0
+    assert got == {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
+    assert all(r.taken <= 3 * r.size for r in got.values()) and abs(got[2].taken - got[2].target) < 3
+    assert mixing.mix_documents(clash.limit(0)).count() == 0
