@@ -2,6 +2,10 @@
 
 A grid is a DataFrame with the cell keys ``r`` and ``c`` and value columns; further key columns (a raster's or a
 tile's id) go in ``by``. Every operator is an equi-join or an aggregation on cell keys, so it shuffles once on them.
+
+Empty tables give empty results; null values are left out of means and count as absent, null keys match nothing. Cells
+are distinct: where one is repeated, joins give each of its rows and aggregations count each. Columns that an operator
+doesn't name are carried by joins and projections and dropped by aggregations; names that begin with "_" are taken.
 """
 
 from __future__ import annotations
@@ -85,7 +89,7 @@ def window_of_bounds(bounds: tuple[float, float, float, float], left: float, top
 
 
 def read_window(cells: DataFrame, row: int, column: int, height: int, width: int) -> DataFrame:
-    """Cells of a window, numbered from its corner. The range filters reach a Parquet scan."""
+    """Cells of a window, numbered from its corner: a filter. A scene's files are pruned by ``rasters.read_scene`` instead."""
     inside = cells.where(F.col("r").between(row, row + height - 1) & F.col("c").between(column, column + width - 1))
     return inside.withColumns({"r": F.col("r") - row, "c": F.col("c") - column})
 

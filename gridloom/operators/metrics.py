@@ -1,4 +1,8 @@
-"""Error metrics between a reference and an estimate, in one pass over the pairs."""
+"""Error metrics between a reference and an estimate, in one pass over the pairs.
+
+Repeated pairs count once for each row; pairs with a null on either side have no part in what needs both. Without any
+pair an ungrouped metric is a row of nulls and zero counts, a grouped one has no row. Further columns are left aside.
+"""
 
 from __future__ import annotations
 

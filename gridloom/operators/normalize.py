@@ -1,4 +1,8 @@
-"""Tile-local normalisation of elevations."""
+"""Tile-local normalisation of elevations.
+
+Empty tables give empty results. Repeated cells count once for each row, nulls in no statistic, and give a null. Further
+columns are carried by ``normalize_tiles``.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Overlapping windows over a grid, feathered weights and mosaics, as relations."""
+"""Overlapping windows over a grid, feathered weights and mosaics, as relations.
+
+Empty tables give empty results. A repeated cell is covered, weighted and summed once for each of its rows; nulls have no
+part in sums. Columns that an operator doesn't name are carried, but for aggregations; names that begin with "_" are taken.
+"""
 
 from __future__ import annotations
 
