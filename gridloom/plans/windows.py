@@ -52,11 +52,12 @@ def window_origins(spark, sf_dir):
     return w.withColumns({k: F.col(k).cast("long") for k in ("yi", "xi", "y0", "x0")})
 
 
-@query(f"WITH k AS (SELECT unnest(range(0, {TILE})) AS i) SELECT i, {S(_ramp('i', 'false', 'false'))} AS inner_weight, {S(_ramp('i', 'true', 'false'))} AS first_weight, {S(_ramp('i', 'false', 'true'))} AS last_weight FROM k")
+@query(f"WITH {HR}, k AS (SELECT DISTINCT c % {TILE} AS i FROM hr) SELECT i, {S(_ramp('i', 'false', 'false'))} AS inner_weight, {S(_ramp('i', 'true', 'false'))} AS first_weight, {S(_ramp('i', 'false', 'true'))} AS last_weight FROM k")
 def feather_ramp(spark, sf_dir):
-    i = F.col("id")
+    """Weights of the columns of the grid within their tiles."""
+    i = F.col("i")
     w = {"inner_weight": (False, False), "first_weight": (True, False), "last_weight": (False, True)}
-    return spark.range(TILE).select(i.alias("i"), *(snap(tiling.feather(i, TILE, OVERLAP, *edges)).alias(n) for n, edges in w.items()))
+    return hr(spark, sf_dir).select((F.col("c") % TILE).alias("i")).distinct().select(i, *(snap(tiling.feather(i, TILE, OVERLAP, *edges)).alias(n) for n, edges in w.items()))
 
 
 def _windowed(spark, sf_dir):
