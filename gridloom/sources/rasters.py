@@ -10,9 +10,11 @@ place; what a failed job or a repeated task wrote is never seen.
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import json
 import os
+import shutil
 import urllib.request
 import uuid
 from collections.abc import Iterable, Iterator
@@ -134,17 +136,16 @@ class Writer(DataSourceArrowWriter):
             json.dump({"tiles": tiles, **self.place, "crs": self.crs}, f)
         os.replace(part, index)
         for path in before:
-            os.unlink(path)
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(path)
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
         self._clear()
 
     def _clear(self) -> None:
-        if os.path.isdir(self.hidden):
-            for name in os.listdir(self.hidden):
-                os.unlink(os.path.join(self.hidden, name))
-            os.rmdir(self.hidden)
+        """A task that is still being stopped may write on: what it leaves stays hidden."""
+        shutil.rmtree(self.hidden, ignore_errors=True)
 
 
 class RasterSource(DataSource):
