@@ -3,8 +3,9 @@
 A raster's cells move as packed pieces, not as rows: each task that reads cells packs those that a cluster of windows
 needs into one row. A cluster is ``group`` x ``group`` neighbouring windows with their halo, so that overlapping windows
 share what they have in common. It cuts its windows, runs the model on all of them at once and sums up weighted
-predictions; only the sums move again, to be blended by blocks. So there are two shuffles, of arrays both times, and a
-task holds one cluster or one block at a time, whatever the scene's size.
+predictions; only the sums move again, to be blended by blocks. So there are two shuffles, of arrays both times, a third
+where depths go onto another grid than the model's, and a task holds one cluster or one block at a time, whatever the
+scene's size.
 
 A tile array is a row ``y, x, height, width, px``: the first cell, the extent, and the values row by row.
 """
@@ -27,7 +28,7 @@ from .tiling import LEAST_SUM, LEAST_WEIGHT, stride_of
 
 ARRAYS = "y long, x long, height long, width long, px array<double>"
 #: Cells that a task packs at once.
-PACKED = 1 << 20
+PACKED = 1 << 18
 #: Side of the blocks in which predictions are blended and resampled.
 BLOCK = 512
 
@@ -38,8 +39,8 @@ class Axis(NamedTuple):
     origin: float
     step: float
 
-    def centres(self, first: int, last: int) -> np.ndarray:
-        return self.origin + (np.arange(first, last) + 0.5) * self.step
+    def centres(self, cells: np.ndarray) -> np.ndarray:
+        return self.origin + (cells + 0.5) * self.step
 
     def cells(self, places: np.ndarray) -> np.ndarray:
         """Places as numbers of cell centres, whole at a centre."""
@@ -63,8 +64,12 @@ class Taps(NamedTuple):
 
 def taps(source: Axis, target: Axis, first: int, last: int, size: int) -> Taps:
     """Taps of target cells ``first`` to ``last``. Where the target is coarser than the source the weights reach as far as a target cell."""
+    return _taps(source, target, np.arange(first, last), size)
+
+
+def _taps(source: Axis, target: Axis, cells: np.ndarray, size: int) -> Taps:
     reach = max(1.0, abs(target.step / source.step))
-    place = source.cells(target.centres(first, last))
+    place = source.cells(target.centres(cells))
     place = np.where(np.abs(place - np.rint(place)) < 1e-9, np.rint(place), place)  # a centre on a centre has one tap
     near = np.floor(place - reach).astype(np.int64)[:, None] + np.arange(1, 2 * math.ceil(reach) + 1)
     weights = np.maximum(0.0, 1 - np.abs(near - place[:, None]) / reach)
@@ -100,6 +105,12 @@ class Spans(NamedTuple):
             yield at, first[at] + d
 
 
+def tapped(source: Axis, target: Axis, low: np.ndarray, high: np.ndarray, size: int) -> Spans:
+    """The source cells that the taps of target cells [low, high) need, for each range. Taps move along with their cells, so that a range's two ends tell."""
+    ends = [_taps(source, target, cells, size).at for cells in (low, high - 1)]
+    return Spans(np.minimum(*(at.min(1) for at in ends)), np.maximum(*(at.max(1) for at in ends)) + 1)
+
+
 def runs(*columns: np.ndarray) -> list[tuple[int, int]]:
     """Starts and ends of runs of equal rows of sorted columns of numbers from 0 up."""
     new = np.zeros(len(columns[0]), bool)
@@ -129,11 +140,13 @@ def packed(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: S
         return pa.RecordBatch.from_arrays([pa.array(y[cuts], pa.int32()), pa.array(x[cuts], pa.int32()), pa.array([place[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([px[a:b].tobytes() for a, b in parts], pa.binary())], names)
 
     for r, c, v in batches:
-        held.append((r, c, v))
-        size += len(r)
-        if size >= PACKED:
-            yield pieces()
-            held, size = [], 0
+        for at in range(0, len(r), PACKED):
+            cut = np.s_[at : at + PACKED]
+            held.append((r[cut], c[cut], v[cut]))
+            size += len(held[-1][0])
+            if size >= PACKED:
+                yield pieces()
+                held, size = [], 0
     if size:
         yield pieces()
 
@@ -271,10 +284,9 @@ def super_resolve(
     ys, xs = wy.spans(), wx.spans()
     low_spans = [Spans(s.low // scale, s.high // scale) for s in (ys, xs)]
     if native:
-        high_spans, ground = [ys, xs], None
+        high_spans = [ys, xs]
     else:
-        ground = [[taps(f, m, int(a), min(int(b), n), size) for a, b in zip(*s, strict=True)] for s, f, m, n, size in ((ys, fine.rows, model.rows, model.height, fine.height), (xs, fine.columns, model.columns, model.width, fine.width))]
-        high_spans = [Spans(np.array([t.first for t in side_]), np.array([t.last for t in side_])) for side_ in ground]
+        high_spans = [tapped(f, m, s.low, np.minimum(s.high, n), size) for s, f, m, n, size in zip((ys, xs), fine[2:], model[2:], model[:2], fine[:2], strict=True)]
     denominator, loaded = math.log1p(max_depth), _Loaded(predictor)
 
     def run(key: tuple[pa.Scalar, ...], low: pa.Table, high: pa.Table) -> pa.Table:
@@ -283,10 +295,10 @@ def super_resolve(
         extent = lambda spans: [int(s.high[k] - s.low[k]) for s, k in zip(spans, (cy, cx), strict=True)]
         u = np.clip(np.log1p(np.clip(unpacked(low, *extent(low_spans), 0.0), 0, max_depth)) / denominator, 0, 1)
         z = np.zeros(extent((ys, xs)))
-        if ground is None:
+        if native:
             z[:] = unpacked(high, *z.shape, 0.0)
         else:
-            rows, columns = ground[0][cy], ground[1][cx]
+            rows, columns = (taps(f, m, int(s.low[k]), min(int(s.high[k]), n), size) for s, k, f, m, n, size in zip((ys, xs), (cy, cx), fine[2:], model[2:], model[:2], fine[:2], strict=True))
             part = resampled(unpacked(high, *extent(high_spans)), rows, columns, rows.first, columns.first)
             z[: part.shape[0], : part.shape[1]] = np.nan_to_num(part, nan=0.0)
         top, left = int(ys.low[cy]), int(xs.low[cx])
@@ -326,12 +338,15 @@ def super_resolve(
         v = np.where(weights > 0, total / np.maximum(weights, LEAST_SUM), 0.0)
         v = v if blend_depths else np.expm1(np.clip(v, 0, 1) * denominator)
         v = np.clip(v, 0, max_depth)
-        return _rows([(y, x, height, width, (dry(v, max_depth) if native else v).ravel())], _ARRAYS)
+        if native:
+            return _rows([(y, x, height, width, dry(v, max_depth).ravel())], _ARRAYS)
+        r, c = np.repeat(np.arange(y, y + height), width), np.tile(np.arange(x, x + width), height)
+        return pa.Table.from_batches(packed(iter([(r, c, v.ravel())]), *back))
 
-    blended = sums.groupBy("by", "bx").applyInArrow(blend, ARRAYS)
     if native:
-        return blended
-    return resample_arrays(blended, model, fine, block, lambda v: dry(v, max_depth))
+        return sums.groupBy("by", "bx").applyInArrow(blend, ARRAYS)
+    back = _needed(model, fine, block)
+    return _resample(sums.groupBy("by", "bx").applyInArrow(blend, PIECES), model, fine, back, block, lambda v: dry(v, max_depth))
 
 
 def dry(depth: np.ndarray, max_depth: float) -> np.ndarray:
@@ -356,19 +371,34 @@ def resample_arrays(arrays: DataFrame, source: Grid, target: Grid, block: int =
 
     NaN and absent cells have no weight; a target cell near no value is NaN. ``after`` is applied to each block.
     """
-    starts = [range(0, n, block) for n in target[:2]]
-    found = [[taps(s, t, a, min(a + block, n), size) for a in at] for at, s, t, n, size in zip(starts, source[2:], target[2:], target[:2], source[:2], strict=True)]
-    spans = [Spans(np.array([t.first for t in side]), np.array([t.last for t in side])) for side in found]
+    spans = _needed(source, target, block)
+    return _resample(pack_arrays(arrays, *spans), source, target, spans, block, after)
+
+
+def resample_cells(cells: DataFrame, value: str, source: Grid, target: Grid, block: int = BLOCK) -> DataFrame:
+    """``resample_arrays`` from cells (r, c, value), which go to the blocks that need them at once; a null is an absent cell, a block near no cell has no row."""
+    spans = _needed(source, target, block)
+    return _resample(pack_cells(cells.where(F.col(value).isNotNull()), value, *spans), source, target, spans, block)
+
+
+def _needed(source: Grid, target: Grid, block: int) -> list[Spans]:
+    """The source cells that each block of the target needs, along both axes."""
+    starts = [np.arange(0, n, block) for n in target[:2]]
+    return [tapped(s, t, a, np.minimum(a + block, n), size) for a, s, t, n, size in zip(starts, source[2:], target[2:], target[:2], source[:2], strict=True)]
+
+
+def _resample(pieces: DataFrame, source: Grid, target: Grid, spans: list[Spans], block: int, after=None) -> DataFrame:
+    """Blocks of the target from the pieces that they need; each block's taps are made in its task, as those of all blocks are as long as the grid."""
 
     def run(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
-        ty, tx = (k.as_py() for k in key)
-        values = unpacked(pieces, *(int(s.high[k] - s.low[k]) for s, k in zip(spans, (ty, tx), strict=True)))
-        rows, columns = found[0][ty], found[1][tx]
+        at = [k.as_py() for k in key]
+        values = unpacked(pieces, *(int(s.high[k] - s.low[k]) for s, k in zip(spans, at, strict=True)))
+        rows, columns = (taps(s, t, k * block, min((k + 1) * block, n), size) for k, s, t, n, size in zip(at, source[2:], target[2:], target[:2], source[:2], strict=True))
         out = resampled(values, rows, columns, rows.first, columns.first)
         out = out if after is None else after(out)
-        return _rows([(ty * block, tx * block, *out.shape, out.ravel())], _ARRAYS)
+        return _rows([(at[0] * block, at[1] * block, *out.shape, out.ravel())], _ARRAYS)
 
-    return pack_arrays(arrays, *spans).groupBy("ty", "tx").applyInArrow(run, ARRAYS)
+    return pieces.groupBy("ty", "tx").applyInArrow(run, ARRAYS)
 
 
 def tile_arrays(cells: DataFrame, value: str, height: int, width: int, block: int = BLOCK) -> DataFrame:

@@ -39,7 +39,7 @@ def resample_rational(spark, sf_dir):
     z = dem(spark, sf_dir)
     height = -(-_shape(z)[0] // SCALE)
     fine = _grid(height, WIDTH, SCALE)
-    out = arrays.resample_arrays(arrays.tile_arrays(z, "z", fine.height, fine.width, 128), fine, _grid(height, WIDTH, MODEL), 128)
+    out = arrays.resample_cells(z, "z", fine, _grid(height, WIDTH, MODEL), 128)
     return arrays.cells_of(out, "z").select("r", "c", snap("z").alias("z"))
 
 
@@ -67,7 +67,7 @@ def _resolved(spark, sf_dir, per_coarse: int):
     z = dem(spark, sf_dir)
     height = -(-_shape(z)[0] // SCALE)
     if per_coarse == MODEL:
-        z = arrays.cells_of(arrays.resample_arrays(arrays.tile_arrays(z, "z", height * SCALE, WIDTH * SCALE, 128), _grid(height, WIDTH, SCALE), _grid(height, WIDTH, MODEL), 128), "z")
+        z = arrays.cells_of(arrays.resample_cells(z, "z", _grid(height, WIDTH, SCALE), _grid(height, WIDTH, MODEL), 128), "z")
     out = arrays.super_resolve(low, z, _grid(height, WIDTH, 1), _grid(height, WIDTH, per_coarse), predict.BilinearPredictor(MODEL), LOW, OVERLAP // SCALE, MAX_DEPTH, group=8, block=128)
     return _by_block(arrays.cells_of(out, "depth"))
 

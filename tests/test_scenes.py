@@ -113,6 +113,33 @@ def test_resampled_arrays_meet_at_borders(spark):
         assert np.allclose(got, resample(values, [(0, 3.0, 50), (0, 3.0, 37)], [(1.0, 5.0, 30), (0.5, 5.0, 22)]), equal_nan=True)
 
 
+def test_plans_hold_no_taps(spark, monkeypatch):
+    """Taps are as many as a grid's rows: tasks make those of their own block, and plans know where blocks begin and end."""
+    for source, target, n, m in ((Axis(0.0, 1.0), Axis(0.0, 2 / 3), 12, 18), (Axis(1.0, 3.0), Axis(0.5, 5.0), 50, 30), (Axis(0.0, 1.0), Axis(-0.25, 1.0), 9, 9)):
+        low = np.arange(0, m, 4)
+        high = np.minimum(low + 4, m)
+        each = [arrays.taps(source, target, int(a), int(b), n) for a, b in zip(low, high, strict=True)]
+        spans = arrays.tapped(source, target, low, high, n)
+        assert spans.low.tolist() == [t.first for t in each] and spans.high.tolist() == [t.last for t in each]
+
+    def refuse(*_):
+        raise AssertionError("taps were made by the driver")
+
+    monkeypatch.setattr(arrays, "taps", refuse)
+    cells = spark.createDataFrame([(0, 0, 1.0)], "r long, c long, v double")
+    tall = [Grid(n * 1000, n, Axis(0.0, 1 / n), Axis(0.0, 1 / n)) for n in (1, 2, 3)]
+    arrays.resample_cells(cells, "v", tall[1], tall[2])
+    arrays.super_resolve(cells, cells, tall[0], tall[1], BilinearPredictor(3), 8, 2, 5.0)
+
+
+def test_packing_is_bounded():
+    """However large the arrays that come in, cells are packed PACKED at a time, and none is lost."""
+    n = (1 << 20) + 5
+    whole = arrays.Spans(np.array([0]), np.array([n])), arrays.Spans(np.array([0]), np.array([1]))
+    sizes = [len(px) // 8 for batch in arrays.packed(iter([(np.arange(n), np.zeros(n, np.int64), np.ones(n))]), *whole) for px in batch["px"].to_pylist()]
+    assert sum(sizes) == n and max(sizes) <= 1 << 18
+
+
 @pytest.mark.parametrize(("ratio", "more"), [((10, 1), 0), ((15, 1), 3), ((4, 1), 2)])
 def test_files_at_any_scale(spark, tmp_path, ratio, more):
     """30 m to 3 m, 2 m and 7.5 m by a network that makes four cells of one; elevations reach further than depths."""
