@@ -5,7 +5,7 @@
    rows. Both by halving, on minima over ranges of a column.
 3. Back at that row: the first cell within ``d``, and its value.
 
-Rows and columns go to tasks in bands, so that a task holds some millions of cells at most, however large the grid.
+Rows and columns go to tasks in bands of BAND cells, or of one row or column where that has more.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .arrays import PIECES, Spans, pack_cells, packed, runs, unpacked
 
 #: Cells of a band, about.
-BAND = 1 << 20
+BAND = 1 << 18
 #: Farther than any cell.
 FAR = 1 << 30
 

@@ -9,6 +9,7 @@ labels that touch across tile borders are merged in Spark.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,12 @@ def _relaxed(cost: bytes, seed: bytes, strips: list[dict], ty: int, tx: int, til
     return arrays
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: tiles' arrays are large, and a batch has dozens."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
@@ -135,19 +142,19 @@ def allocate(cells: DataFrame, cost: str, seed: str, limit: float | None = None,
 
     def borders(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
+            for row in _each(batch):
+                out = []
                 arrays = _relaxed(row["cost"], row["seed"], row["strips"] or [], row["ty"], row["tx"], tile, geometric, bound)
                 for a, b in _AROUND:
                     where = _border(a, b, tile)
                     if np.isfinite(arrays["distance"][where]).any():
                         out.append((row["ty"] + a, row["tx"] + b, a, b, *(np.ascontiguousarray(arrays[n][where]).tobytes() for n, _ in _ARRAYS)))
-            yield _table(out, wire)
+                yield _table(out, wire)
 
     def relaxed(batches):
         types = pa.schema([("r", pa.int64()), ("c", pa.int64()), ("distance", pa.float64()), ("src_r", pa.int64()), ("src_c", pa.int64()), ("value", pa.float64())])
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 arrays = _relaxed(row["cost"], row["seed"], row["strips"] or [], row["ty"], row["tx"], tile, geometric, bound)
                 i, j = np.nonzero(np.isfinite(arrays["distance"][1:-1, 1:-1]))
                 source = arrays["source"][i + 1, j + 1]

@@ -30,8 +30,7 @@ def grow(coarse: DataFrame, dem: DataFrame, scale: int, height: int, width: int,
 
     def resampled(surface: DataFrame) -> DataFrame:
         """Bilinear, from the cells that have a value."""
-        whole = arrays.tile_arrays(surface, "wse", height, width, BLOCK)
-        return arrays.cells_of(arrays.resample_arrays(whole, arrays.Grid(height, width), finer, BLOCK), "wse").where(~F.isnan("wse"))
+        return arrays.cells_of(arrays.resample_cells(surface, "wse", arrays.Grid(height, width), finer, BLOCK), "wse").where(~F.isnan("wse"))
 
     surface = resampled(coarse)
     cells = dem.select("r", "c", "z").join(surface, ["r", "c"], "left")

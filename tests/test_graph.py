@@ -1,7 +1,9 @@
 import heapq
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,25 @@ def test_odd_cells(spark):
     assert graph.nearest_fill(df.where("seed is null"), "seed").count() == 0
 
 
+def test_a_batch_of_tiles_is_handled_tile_by_tile():
+    """A batch has as many tiles as its bytes allow; what is copied of it at once is one tile."""
+    tile = np.zeros((graph.TILE, graph.TILE)).tobytes()
+    batch = pa.RecordBatch.from_pydict({"ty": list(range(40)), "cost": [tile] * 40})
+    tracemalloc.start()
+    try:
+        assert [row["ty"] for row in graph._each(batch) if row["cost"] == tile] == list(range(40))
+        assert tracemalloc.get_traced_memory()[1] < 4 * len(tile)
+    finally:
+        tracemalloc.stop()
+
+
+def test_bands_of_nearest_cells():
+    """A task of a band holds a quarter of a million cells, or one row or column."""
+    for size, across in ((720_000, 200), (200, 720_000), (5, 3)):
+        band, spans = chessboard._bands(size, across)
+        assert band * across <= max(1 << 18, across) and int((spans.high - spans.low).sum()) == size
+
+
 def test_flat_ground_floods_to_the_chessboard_limit(spark):
     """Ten coarse cells at scale 8: only the distance limits the growth, as dear as the way may be."""
     coarse = spark.createDataFrame([(r, c, 5.0 if c == 0 else None) for r in range(4) for c in range(14)], "r long, c long, wse double")
