@@ -265,15 +265,11 @@ def _at(edge: Callable[[Column], tuple[Column, Column]]) -> Callable[[Column], C
     return lambda k: _point(*edge(k))
 
 
-def _mapped(step: Step) -> Callable[[Column], Column]:
-    return lambda p: _point(*step(p["x"], p["y"]))
-
-
 def reproject_bounds(boxes: DataFrame, source: str, target: str, densify: int = DENSIFY) -> DataFrame:
     """Boxes (xmin, ymin, xmax, ymax and other columns) in another system: the bounds of their densified edges.
 
-    Array functions of each row alone, without a shuffle. Null bounds give null bounds; boxes across the
-    antimeridian aren't split.
+    The boxes are dealt over tasks, each edge's points are rows there, and a box's bounds are gathered in the task that
+    has it: one shuffle, of boxes. Null bounds give null bounds; boxes across the antimeridian aren't split.
     """
     steps = F.sequence(F.lit(0), F.lit(densify + 1))
     along = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / (densify + 1)
@@ -283,9 +279,8 @@ def reproject_bounds(boxes: DataFrame, source: str, target: str, densify: int =
         lambda k: (F.col("xmin"), along("ymin", "ymax", k)),
         lambda k: (F.col("xmax"), along("ymin", "ymax", k)),
     )
-    put = boxes.withColumn("_points", F.concat(*(F.transform(steps, _at(edge)) for edge in edges)))
-    for step in _steps(source, target):
-        put = put.withColumn("_points", F.transform("_points", _mapped(step)))
-    every = lambda k: F.transform("_points", lambda p: p[k])
-    ends = {f"{k}{name}": end(every(k)) for name, end in (("min", F.array_min), ("max", F.array_max)) for k in ("x", "y")}
-    return put.withColumns(ends).drop("_points")
+    dealt = boxes.withColumn("_box", F.monotonically_increasing_id()).repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_box")
+    points = dealt.withColumn("_point", F.explode(F.concat(*(F.transform(steps, _at(edge)) for edge in edges))))
+    put = reproject(points.withColumns({"_x": F.col("_point.x"), "_y": F.col("_point.y")}), "_x", "_y", source, target)
+    ends = {"xmin": F.min("_x"), "ymin": F.min("_y"), "xmax": F.max("_x"), "ymax": F.max("_y")}
+    return put.groupBy("_box").agg(*(ends.get(c, F.first(f"`{c}`")).alias(c) for c in boxes.columns)).drop("_box")

@@ -77,6 +77,16 @@ def test_bounds(spark):
     assert empty.id == 2 and geo.reproject_bounds(boxes.limit(0), "EPSG:4326", "EPSG:3979").count() == 0
 
 
+def test_boxes_of_one_file_are_dealt_over_tasks(spark):
+    """A file of boxes is one task's; their edges' points are many. Rows that repeat a box stay, with all their columns."""
+    boxes = spark.range(40, numPartitions=1).selectExpr("cast(id div 2 as string) as name", "5.7 + id div 2 / 100 as xmin", "49.4D as ymin", "5.8 + id div 2 / 100 as xmax", "49.5D as ymax", "array(id) as ids")
+    out = geo.reproject_bounds(boxes, "EPSG:4326", "EPSG:2169")
+    assert out.columns == boxes.columns and out.rdd.getNumPartitions() > 1
+    rows = sorted(out.collect(), key=lambda r: r.ids)
+    assert [(r.name, r.ids) for r in rows] == [(str(k // 2), [k]) for k in range(40)]
+    assert all(rows[k][1:5] == rows[k + 1][1:5] for k in range(0, 40, 2)) and rows[0].xmin < rows[2].xmin
+
+
 def test_files_with_a_system(spark, tmp_path):
     a = np.random.default_rng(3).random((70, 33)).astype(np.float32)
     for crs in ("EPSG:32633", "EPSG:4326", None):
