@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 from typing import NamedTuple
 
@@ -100,26 +101,34 @@ class Aligned(NamedTuple):
     times: list[np.ndarray]
 
 
-def _shares(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Marks between each two of the bounds; those at a bound count before it."""
-    sums = np.cumsum(marks)
-    return np.diff(sums[bounds])
+def _shares(sums: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Marks between each two of the bounds, by the marks' running sums; those at a bound count before it."""
+    return np.diff(sums[bounds]).astype(np.int64)
 
 
-def _digits(ids: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each number in decimal with its separator (0: none), as bytes side by side, and their lengths."""
-    places = len(str(int(ids.max(initial=0))))
-    out = np.zeros((len(ids), places + 1), np.uint8)
-    rest = ids.copy()
+@functools.lru_cache(maxsize=4)
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below n in decimal, as rows of bytes with zeros before the first digit, and how many digits they have."""
+    places = len(str(n - 1))
+    rest, out = np.arange(n), np.zeros((n, places + 1), np.uint8)
+    lengths = np.ones(n, np.int64)
     for k in range(places - 1, -1, -1):
         rest, digit = np.divmod(rest, 10)
         out[:, k] = digit + 0x30
-    written = np.ones(out.shape, bool)
     for k in range(places - 1):
-        written[:, k] = ids >= 10 ** (places - 1 - k)
+        above = np.arange(n) >= 10 ** (places - 1 - k)
+        out[~above, k] = 0
+        lengths += above
+    return out, lengths
+
+
+def _digits(ids: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number in decimal with its separator (0: none), as bytes side by side, and their lengths."""
+    digits, lengths = _decimals(1 << int(ids.max(initial=0)).bit_length())
+    out = digits[ids]
     out[:, -1] = separators
-    written[:, -1] = separators > 0
-    return out[written], written.sum(1)
+    flat = out.ravel()
+    return flat[flat != 0], lengths[ids] + (separators > 0)
 
 
 def cut(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, bounds: np.ndarray, b_size: int) -> Aligned:
@@ -127,18 +136,18 @@ def cut(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, bo
     total = int(bounds[-1])
     in_a, in_b = np.bincount(a_ends, minlength=total + 1), np.bincount(b_ends, minlength=total + 1)
     both, either = in_a & in_b, in_a | in_b
-    before_a, before_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    sums_a, sums_b, sums_both, sums_either = (np.cumsum(marks) for marks in (in_a, in_b, both, either))
     at = np.flatnonzero(either)
-    links = a[before_a[at]].astype(np.int64) * b_size + b[before_b[at]]
+    links = a[sums_a[at] - in_a[at]].astype(np.int64) * b_size + b[sums_b[at] - in_b[at]]
 
-    n_links, n_groups = _shares(either, bounds), _shares(both, bounds)
+    n_links, n_groups = _shares(sums_either, bounds), _shares(sums_both, bounds)
     of = np.repeat(np.arange(len(n_links)), n_links)
     distinct, times = np.unique(of << 32 | links, return_counts=True)
     parts = np.cumsum(np.bincount(distinct >> 32, minlength=len(n_links)))[:-1]
 
     cuts = np.flatnonzero(both)
-    a_until, b_until = np.cumsum(in_a)[cuts], np.cumsum(in_b)[cuts]
-    group_a, group_b = (np.cumsum(both) - both)[a_ends], (np.cumsum(both) - both)[b_ends]
+    a_until, b_until = sums_a[cuts], sums_b[cuts]
+    group_a, group_b = (sums_both[ends] - both[ends] for ends in (a_ends, b_ends))
     size = len(a) + len(b)
     ids, marks = np.zeros(size, np.int64), np.zeros(size, np.uint8)
     place_a = np.arange(len(a)) + np.concatenate([[0], b_until])[group_a]
@@ -146,14 +155,14 @@ def cut(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, bo
     ids[place_a], ids[place_b] = a, b
     marks[place_a] = np.where(both[a_ends] > 0, ord("|"), ord(","))
     marks[place_b] = np.where(both[b_ends] > 0, ord(";"), ord(","))
-    last = np.cumsum(_shares(in_a, bounds) + _shares(in_b, bounds))
+    last = np.cumsum(_shares(sums_a, bounds) + _shares(sums_b, bounds))
     marks[last[np.diff(bounds) > 0] - 1] = 0
     text, lengths = _digits(ids, marks)
     sums = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], last])]
     raw = text.tobytes()
     return Aligned(
-        _shares(in_a, bounds),
-        _shares(in_b, bounds),
+        _shares(sums_a, bounds),
+        _shares(sums_b, bounds),
         n_groups,
         n_links,
         [raw[i:j] for i, j in zip(sums[:-1].tolist(), sums[1:].tolist(), strict=True)],
@@ -185,7 +194,7 @@ def align_texts(texts: list[str | None], data: np.ndarray, offsets: np.ndarray,
     spaced = np.insert(data, offsets[chosen], 0x20)
     bounds = np.concatenate([[0], np.cumsum(sizes[chosen] + 1)])
     counts_a, counts_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    flat_a, flat_b = (np.concatenate([np.array(x, np.int64) for x in side] + [np.zeros(0, np.int64)]) for side in (a, b))
+    flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((a, counts_a), (b, counts_b)))
     right = _whole(flat_a, counts_a, coder.a_vocabulary, spaced, bounds) & _whole(flat_b, counts_b, coder.b_vocabulary, spaced, bounds)
     flat_a, flat_b = flat_a[np.repeat(right, counts_a)], flat_b[np.repeat(right, counts_b)]
     lengths = np.zeros(len(texts), np.int64)

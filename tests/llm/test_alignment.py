@@ -91,3 +91,11 @@ def test_awkward_rows(awkward):
 def test_text_that_pieces_cannot_give_back_has_no_tokens(documents):
     row = alignment.align(documents([(1, "a ▁ b")])).first()
     assert (row.n_a, row.n_b, row.n_groups, row.n_links, row.n_best, row.count_sum, row.groups_sha256) == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_decimals_of_a_vocabulary():
+    ids, marks = np.array([0, 7, 10, 99, 100, 50257, 65535, 1]), np.array([44, 0, 59, 124, 0, 44, 59, 0], np.uint8)
+    text, lengths = alignment._digits(ids, marks)
+    want = [f"{i}{chr(m) if m else ''}" for i, m in zip(ids.tolist(), marks.tolist(), strict=True)]
+    assert text.tobytes().decode() == "".join(want) and lengths.tolist() == [len(x) for x in want]
+    assert alignment._decimals(1 << 16) is alignment._decimals(1 << 16)  # written out once for a vocabulary
