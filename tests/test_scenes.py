@@ -113,6 +113,18 @@ def test_resampled_arrays_meet_at_borders(spark):
         assert np.allclose(got, resample(values, [(0, 3.0, 50), (0, 3.0, 37)], [(1.0, 5.0, 30), (0.5, 5.0, 22)]), equal_nan=True)
 
 
+def test_cells_are_resampled_without_tiles_between(spark):
+    random = np.random.default_rng(6)
+    values = random.random((26, 19))
+    values[3, 3] = np.nan
+    cells = spark.createDataFrame([(r, c, float(values[r, c]) if (r, c) != (3, 3) else None) for r in range(26) for c in range(19)], "r long, c long, v double")
+    source, target = Grid(26, 19, Axis(0, 0.5), Axis(0, 0.5)), Grid(39, 28, Axis(0, 1 / 3), Axis(0, 1 / 3))
+    got = np.full((39, 28), np.nan)
+    for r in arrays.cells_of(arrays.resample_cells(cells, "v", source, target, 8), "v").collect():
+        got[r.r, r.c] = r.v
+    assert np.allclose(got, resample(values, [(0, 0.5, 26), (0, 0.5, 19)], [(0, 1 / 3, 39), (0, 1 / 3, 28)]), equal_nan=True)
+
+
 def test_plans_hold_no_taps(spark, monkeypatch):
     """Taps are as many as a grid's rows: tasks make those of their own block, and plans know where blocks begin and end."""
     for source, target, n, m in ((Axis(0.0, 1.0), Axis(0.0, 2 / 3), 12, 18), (Axis(1.0, 3.0), Axis(0.5, 5.0), 50, 30), (Axis(0.0, 1.0), Axis(-0.25, 1.0), 9, 9)):
