@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -152,6 +153,20 @@ def test_packing_is_bounded():
     assert sum(sizes) == n and max(sizes) <= 1 << 18
 
 
+def test_packing_memory_does_not_grow():
+    """A task that packs four times the cells, spread over all blocks as a join leaves them, holds no more at once."""
+    peaks = []
+    for n in (1 << 19, 1 << 21):
+        rows = n // 128
+        spans = arrays.Spans(np.arange(0, rows, 128), np.arange(0, rows, 128) + 128), arrays.Spans(np.array([0]), np.array([128]))
+        batches = (np.arange(k, n, n // 8192) for k in range(n // 8192))
+        tracemalloc.start()
+        assert sum(len(px.as_py()) // 8 for batch in arrays.packed(((x // 128, x % 128, x / n) for x in batches), *spans) for px in batch["px"]) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] and peaks[1] < 64e6
+
+
 @pytest.mark.parametrize(("ratio", "more"), [((10, 1), 0), ((15, 1), 3), ((4, 1), 2)])
 def test_files_at_any_scale(spark, tmp_path, ratio, more):
     """30 m to 3 m, 2 m and 7.5 m by a network that makes four cells of one; elevations reach further than depths."""
